@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function, name of its DuckDB SQL or None)
 _REGISTRY = {
+    "op1_lm_score": ("lm_score", "op1_lm_score", "SQL1"),
     "op3_packing": ("packing", "op3_packing", None),
     "op5_warc": ("warc", "op5_warc", "SQL5"),
 }
