@@ -35,7 +35,7 @@ END = 0
 BIN = "sequence_id long, fill int, doc_id array<long>, piece array<int>, start array<long>, length array<int>, crc array<long>"
 _LISTS = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("crc", pa.int64()))
 #: Code points for which the two libraries split text alike (a test tries each).
-_ALIKE = re.compile("[^\x00-ɏ‐-‧€]")
+_ALIKE = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]")
 
 
 class Encoder:
