@@ -10,6 +10,7 @@ _REGISTRY = {
     "op2_token_counts": ("token_counts", "op2_token_counts", None),
     "op3_packing": ("packing", "op3_packing", None),
     "op5_warc": ("warc", "op5_warc", "SQL5"),
+    "op7_substring_dedup": ("substring_dedup", "op7_substring_dedup", "SQL7"),
     "op9_jaccard_join": ("jaccard_join", "op9_jaccard_join", "SQL9"),
 }
 
