@@ -11,6 +11,7 @@ _REGISTRY = {
     "op3_packing": ("packing", "op3_packing", None),
     "op5_warc": ("warc", "op5_warc", "SQL5"),
     "op7_substring_dedup": ("substring_dedup", "op7_substring_dedup", "SQL7"),
+    "op8_vp_search": ("vp_search", "op8_vp_search", "SQL8"),
     "op9_jaccard_join": ("jaccard_join", "op9_jaccard_join", "SQL9"),
 }
 
