@@ -10,6 +10,7 @@ _REGISTRY = {
     "op2_token_counts": ("token_counts", "op2_token_counts", None),
     "op3_packing": ("packing", "op3_packing", None),
     "op5_warc": ("warc", "op5_warc", "SQL5"),
+    "op6_toxicity": ("toxicity", "op6_toxicity", None),
     "op7_substring_dedup": ("substring_dedup", "op7_substring_dedup", "SQL7"),
     "op8_vp_search": ("vp_search", "op8_vp_search", "SQL8"),
     "op9_jaccard_join": ("jaccard_join", "op9_jaccard_join", "SQL9"),
