@@ -38,6 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 DECAY = 0.6
 #: Places of a subsequence's characters, from the first.
@@ -370,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, doc_byte
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column `score` added (an existing one is replaced)."""
     rows = docs.drop("score")
-    schema = rows.schema.add("score", "double")
+    schema = StructType([*rows.schema, StructField("score", DoubleType())])
     return rows.mapInArrow(lambda it: _score_batches(it, model), schema)
 
 
