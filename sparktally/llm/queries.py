@@ -9,6 +9,7 @@ _REGISTRY = {
     "op1_lm_score": ("lm_score", "op1_lm_score", "SQL1"),
     "op2_token_counts": ("token_counts", "op2_token_counts", None),
     "op3_packing": ("packing", "op3_packing", None),
+    "op4_decontaminate": ("decontaminate", "op4_decontaminate", "SQL4"),
     "op5_warc": ("warc", "op5_warc", "SQL5"),
     "op6_toxicity": ("toxicity", "op6_toxicity", None),
     "op7_substring_dedup": ("substring_dedup", "op7_substring_dedup", "SQL7"),
