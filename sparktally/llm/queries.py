@@ -7,6 +7,7 @@ import importlib
 #: query name -> (module, function, name of its DuckDB SQL or None)
 _REGISTRY = {
     "op1_lm_score": ("lm_score", "op1_lm_score", "SQL1"),
+    "op10_line_dedup": ("line_dedup", "op10_line_dedup", "SQL10"),
     "op2_token_counts": ("token_counts", "op2_token_counts", None),
     "op3_packing": ("packing", "op3_packing", None),
     "op4_decontaminate": ("decontaminate", "op4_decontaminate", "SQL4"),
