@@ -68,7 +68,7 @@ def _pack(ids: list, texts: list[bytes]) -> bytes:
     known = np.array([x is not None for x in ids], "u1").tobytes()
     values = np.array([x or 0 for x in ids], "<i8").tobytes()
     lengths = np.array([len(x) for x in texts], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, values, lengths, known, *texts]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, values, lengths, known, *texts]))
 
 
 def unpack(blob: bytes) -> Docs:
@@ -213,7 +213,7 @@ def _ask(batches: Iterator[pa.RecordBatch], keys_of: Keys, parts: int) -> Iterat
             )
 
 
-def _answer(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.RecordBatch]:
+def _answer(batches: Iterator[pa.RecordBatch], dtype: str, classes: Callable | None) -> Iterator[pa.RecordBatch]:
     rows, keys, counts = [], [], []
     for b in batches:
         rows += zip(b.column("part").to_pylist(), b.column("block").to_pylist())
@@ -229,6 +229,8 @@ def _answer(batches: Iterator[pa.RecordBatch], dtype: str) -> Iterator[pa.Record
     new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
     del flat, sorted_
     sums = np.add.reduceat(weights[order].astype(np.int64), np.flatnonzero(new))
+    if classes:
+        sums = classes(sums)
     totals = np.empty(len(order), dtype)
     totals[order] = np.minimum(sums, np.iinfo(dtype).max)[np.cumsum(new) - 1]
     for k in range(0, len(rows), 2000):
@@ -272,16 +274,16 @@ def _settle(batches: Iterator[pa.RecordBatch], keys_of: Keys, parts: int, dtype:
         yield from done()
 
 
-def exchange(table: DataFrame, keys_of: Keys, then: Settle, schema: str, dtype: str = "<u4", keys_per_part: int = 3_000_000) -> DataFrame:
+def exchange(table: DataFrame, keys_of: Keys, then: Settle, schema: str, dtype: str = "<u4", classes: Callable | None = None, keys_per_part: int = 3_000_000) -> DataFrame:
     """table: stored blocks. keys_of gives a block's sorted distinct keys with
-    counts; `then` gets them with their totals over all blocks (clipped to
-    dtype) and gives rows of schema."""
+    counts; `then` gets them with their totals over all blocks, or with classes
+    of the totals (clipped to dtype), and gives rows of schema."""
     spark = table.sparkSession
     size = table.agg(F.sum("bytes")).first()[0] or 0
     owners = parts_for(spark, size // 5, keys_per_part)
     parts = 8 * owners
     asked = table.select("block", "data").mapInArrow(lambda it: _ask(it, keys_of, parts), "part int, block long, keys binary, counts binary")
-    answers = asked.repartition(owners, "part").mapInArrow(lambda it: _answer(it, dtype), "block long, part int, data binary")
+    answers = asked.repartition(owners, "part").mapInArrow(lambda it: _answer(it, dtype, classes), "block long, part int, data binary")
     both = table.select("block", F.lit(-1).alias("part"), "data").unionByName(answers)
     homes = parts_for(spark, size, 4 * BLOCK_BYTES)
     met = both.repartition(homes, "block").sortWithinPartitions("block", "part")

@@ -141,6 +141,10 @@ def _keys(docs: Docs, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(pairs % max(len(keys), 1), minlength=len(keys))
 
 
+def _one_or_more(df: np.ndarray) -> np.ndarray:
+    return np.minimum(df, 2)
+
+
 def _content(h: np.ndarray, first: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
     """A key of each segment; it has its first and last windows, which overlap."""
     whole = grams(h, length)
@@ -296,7 +300,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, seed: int = SEED, word
     # At most all text comes, each word in up to four segments.
     shards = parts_for(spark, 4 * size // 5, words_per_shard)
     schema = "shard int, block long, a binary, b binary, c binary, size long"
-    segments = stored(exchange(table, lambda d: _keys(d, length, seed), lambda b, d, k, t: _segments(b, d, k, t, length, seed, shards), schema, "<u1"), "segments")
+    segments = stored(exchange(table, lambda d: _keys(d, length, seed), lambda b, d, k, t: _segments(b, d, k, t, length, seed, shards), schema, "<u1", _one_or_more), "segments")
     asked = segments.where("shard >= 0").repartition(shards, "shard").sortWithinPartitions("shard", "block")
     answers = asked.mapInArrow(lambda it: _search_batches(it, length), "block long, a binary, b binary, shard int")
     nothing = F.lit(None).cast("binary")
