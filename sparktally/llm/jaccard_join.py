@@ -33,13 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._blocks import Docs, blocks, exchange, gram_starts, grams, mix, words
 from ._components import components
 from ._shared import SPACE, partitions, stored
 
-DOC = "block long, pos int, doc_id long, n_shingles long, cls long, singles int, shared binary"
+DOC = "block long, pos int, doc_id long, text_key long, n_shingles long, cls long, singles int, shared binary"
 
 
 def doc_sets(docs: Docs, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +98,8 @@ def _shared(block: int, docs: Docs, keys: np.ndarray, totals: np.ndarray, size:
             pa.array(np.full(n, block), pa.int64()),
             pa.array(np.arange(n), pa.int32()),
             pa.array(docs.ids, pa.int64(), mask=~docs.has_id),
+            # Spark's xxhash64 of the text, for joins with its rows.
+            pa.array(np.array([xxhash.xxh64_intdigest(docs.text(i), 42) for i in range(n)], np.uint64).view(np.int64)),
             pa.array(sizes, pa.int64()),
             pa.array(cls.view(np.int64)),
             pa.array((sizes - common).astype(np.int32)),
@@ -267,23 +270,24 @@ def links(sets: DataFrame, percent: int = 80, group_limit: int = 3000) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, group_limit: int = 3000) -> DataFrame:
-    """docs (doc_id, text) -> block, pos (which row), doc_id, n_shingles, label
+    """docs (doc_id, text) -> block, pos (which row), doc_id, text_key (Spark's
+    xxhash64 of the text; of an empty one for null), n_shingles, label
     (null without any partner), component_id (smallest doc_id reachable)."""
     sets = sets_of(docs, size, percent)
     merged = components(links(sets, percent, group_limit)).select(F.col("node").alias("cls"), "label")
     alone = F.col("shared").isNull()
     placed = stored(
         sets.where(~alone)
-        .select("block", "pos", "doc_id", "n_shingles", "cls")
+        .select("block", "pos", "doc_id", "text_key", "n_shingles", "cls")
         .join(merged, "cls", "left")
-        .select("block", "pos", "doc_id", "n_shingles", F.coalesce("label", "cls").alias("label")),
+        .select("block", "pos", "doc_id", "text_key", "n_shingles", F.coalesce("label", "cls").alias("label")),
         "placed",
     )
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return (
         placed.join(least, "label")
-        .select("block", "pos", "doc_id", "n_shingles", "label", "component_id")
-        .unionByName(sets.where(alone).select("block", "pos", "doc_id", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
+        .select("block", "pos", "doc_id", "text_key", "n_shingles", "label", "component_id")
+        .unionByName(sets.where(alone).select("block", "pos", "doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
     )
 
 
