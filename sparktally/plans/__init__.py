@@ -1 +1,10 @@
+"""Query plans over the driver's tables."""
 
+from importlib import import_module
+
+from .registry import QUERIES, SQL
+
+for _name in ("row_queries",):
+    import_module(f"{__name__}.{_name}")
+
+__all__ = ["QUERIES", "SQL"]
