@@ -5,7 +5,7 @@ A line is the set of its distinct five-word shingles. Lines with equal sets are
 one entry, at the first place that has it. Entries have their tokens in one
 global order; an entry with n tokens shares one of its first
 n - ceil(0.8 n) + 1 with every entry of Jaccard 0.8 or more (prefix filter).
-Tokens that only one prefix has are dropped at once. In the list of a token,
+Tokens that only one entry's prefix has are dropped at once. In the list of a token,
 entries meet the earlier ones block by block: the first `block` of the list,
 then twice as many, and so on, and an entry that has found an earlier match is
 not compared again. Sizes (length filter) and places of the token in both
@@ -36,12 +36,23 @@ LAST = 2**63 - 1
 
 
 def _words(line: str) -> Column:
-    return F.split(F.regexp_replace(F.lower(F.col(line)), f"^{SPACE}|{SPACE}$", ""), SPACE)
+    white = " \t\x0b\x0c\r"  # lines end at line feeds
+    return F.split(F.trim(F.lower(F.col(line)), F.lit(white)), f"[{white}]+")
 
 
-def _tokens(words: Column) -> Column:
-    keys = F.transform(F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(SHINGLE))))
-    return F.when(F.size(words) >= SHINGLE, F.sort_array(F.array_distinct(keys)))
+def _tokens(hashes: Column) -> Column:
+    """Sorted distinct shingles of an array of word hashes; null if too few."""
+    keys = F.transform(F.sequence(F.lit(0), F.size(hashes) - SHINGLE), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(SHINGLE))))
+    return F.when(F.size(hashes) >= SHINGLE, F.sort_array(F.array_distinct(keys)))
+
+
+def _with_tokens(lines: DataFrame, *keep: str) -> DataFrame:
+    """Adds t, the tokens of `line`, to the kept columns. Filters on t belong
+    after a written table: pushed down, they would compute it again, with the
+    word hashes spelled out for every shingle."""
+    words = lines.select(*keep, _words("line").alias("w"))
+    hashes = words.select(*keep, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    return hashes.select(*keep, _tokens(F.col("h")).alias("t"))
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -57,90 +68,99 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def entries_of(lines: DataFrame, percent: int) -> DataFrame:
-    """Distinct sets: entry (hash of the set), n, first place, raw, its prefix
-    in hash order, and whether it occurs again."""
-    tokens = lines.select("doc_id", "text_key", "line_no", "raw", _words("line").alias("w")).select("doc_id", "text_key", "line_no", "raw", _tokens(F.col("w")).alias("t"))
+def line_table(lines: DataFrame, percent: int) -> DataFrame:
+    """Stored, one row per line that has tokens: its place, raw, entry (hash of
+    its set), n and prefix. All tokens are computed here, once."""
     n = F.size("t")
     prefix = F.slice("t", F.lit(1), n - _least(n, percent) + 1)
-    each = tokens.where("t IS NOT NULL").select(F.xxhash64("t").alias("entry"), n.alias("n"), F.struct("doc_id", "text_key", "line_no").alias("place"), "raw", prefix.alias("prefix"))
-    return each.groupBy("entry").agg(
-        F.min("place").alias("place"), F.min("raw").alias("raw"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("place") < F.max("place")).alias("again")
-    )
+    tokens = _with_tokens(lines, "doc_id", "text_key", "line_no", "raw")
+    each = tokens.select("doc_id", "text_key", "line_no", "raw", F.xxhash64("t").alias("entry"), n.alias("n"), prefix.alias("prefix"))
+    return stored(each, "lines").where("n IS NOT NULL")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that more than one prefix has, with rank by place."""
-    rank = Window.partitionBy("tok").orderBy("place", "entry")
-    return (
-        postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok")))
-        .where("df > 1")
-        .withColumn("rank", F.row_number().over(rank))
+def entries_of(held: DataFrame) -> DataFrame:
+    """Distinct sets: entry, n, first place, raw, and whether it occurs again."""
+    each = held.select("entry", "n", "raw", F.struct("doc_id", "text_key", "line_no").alias("place"))
+    return each.groupBy("entry").agg(
+        F.min("place").alias("place"), F.min("raw").alias("raw"), F.first("n").alias("n"), (F.min("place") < F.max("place")).alias("again")
     )
 
 
-def _postings(entries: DataFrame) -> DataFrame:
-    return entries.select("entry", "n", "place", "raw", F.posexplode("prefix").alias("at", "tok"))
+def _shared(postings: DataFrame) -> DataFrame:
+    """Distinct postings (tok, entry, at) of tokens that several entries have."""
+    w = Window.partitionBy("tok")
+    several = postings.withColumns({"lo": F.min("entry").over(w), "hi": F.max("entry").over(w)}).where("lo < hi")
+    return several.groupBy("tok", "entry").agg(F.min("at").alias("at"))
 
 
 def _fetch(lines: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
     """Tokens (entry, t) of the wanted entries (entry, raw)."""
     keys = stored(wanted.select("entry", "raw").distinct(), "wanted")
     few = keys.count() <= broadcast_rows
-    joined = lines.select("raw", "line").join(F.broadcast(keys) if few else keys, "raw")
-    words = joined.dropDuplicates(["raw"]).select("entry", _words("line").alias("w"))
-    return words.select("entry", _tokens(F.col("w")).alias("t"))
-
-
-def matches(lines: DataFrame, entries: DataFrame, percent: int = 80, frequent: int = 64, block: int = 16, broadcast_rows: int = 500_000) -> DataFrame:
+    joined = lines.select("raw", "line").join(F.broadcast(keys) if few else keys, "raw").dropDuplicates(["raw"])
+    return _with_tokens(joined, "entry")
+
+
+def _demote(lines: DataFrame, held: DataFrame, entries: DataFrame, shared: DataFrame, percent: int, frequent: int, broadcast_rows: int) -> DataFrame:
+    """Postings after tokens of more than `frequent` entries went to the end of
+    the order: entries that had one in their prefix get another prefix."""
+    hot = stored(shared.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > frequent), "hot")
+    if not hot.limit(1).count():
+        return shared
+    affected = stored(shared.join(hot, "tok", "left_semi").select("entry").distinct().join(entries.select("entry", "raw", "n"), "entry"), "affected")
+    tokens = _fetch(lines, affected, broadcast_rows).select("entry", F.explode("t").alias("tok"))
+    ordered = tokens.join(hot, "tok", "left").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("s"))
+    n = F.size("s")
+    renewed = stored(ordered.select("entry", F.posexplode(F.slice("s", F.lit(1), n - _least(n, percent) + 1)).alias("at", "x")).select(F.col("x.tok").alias("tok"), "entry", "at"), "renewed")
+    others = held.join(affected.select("entry"), "entry", "left_anti").select("entry", F.posexplode("prefix").alias("at", "tok"))
+    wanted = renewed.select("tok").distinct()
+    met = others.join(wanted, "tok", "left_semi").select("tok", "entry", "at")
+    rest = shared.join(affected.select("entry"), "entry", "left_anti").select("tok", "entry", "at")
+    return stored(_shared(rest.unionByName(renewed).unionByName(met)), "shared")
+
+
+def matches(lines: DataFrame, held: DataFrame, entries: DataFrame, percent: int = 80, frequent: int = 256, block: int = 16, broadcast_rows: int = 500_000) -> DataFrame:
     """Entries (entry) that an earlier entry matches."""
-    shared = stored(_shared(_postings(entries)), "shared")
-    hot = shared.where(F.col("df") > frequent).select("tok").distinct()
-    if shared.where(F.col("df") > frequent).limit(1).count():
-        # Frequent tokens go to the end of the order: new prefixes where they were.
-        affected = shared.join(hot, "tok", "left_semi").select("entry", "raw").distinct()
-        tokens = _fetch(lines, affected, broadcast_rows).select("entry", F.explode("t").alias("tok"))
-        hot_df = shared.where(F.col("df") > frequent).groupBy("tok").agg(F.max("df").alias("df"))
-        ordered = tokens.join(hot_df, "tok", "left").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("s"))
-        renewed = ordered.select("entry", F.transform("s", lambda x: x["tok"]).alias("s")).join(entries.drop("prefix"), "entry")
-        renewed = renewed.withColumn("prefix", F.slice("s", F.lit(1), F.col("n") - _least(F.col("n"), percent) + 1)).select(*entries.columns)
-        rest = entries.join(affected.select("entry"), "entry", "left_anti")
-        shared = stored(_shared(_postings(rest.unionByName(renewed))), "shared")
-    tokens = stored(_fetch(lines, shared, broadcast_rows), "tokens")
-    lists = shared.select("tok", "entry", "n", "at", "rank")
+    postings = held.select("entry", F.posexplode("prefix").alias("at", "tok"))
+    shared = _demote(lines, held, entries, stored(_shared(postings), "shared"), percent, frequent, broadcast_rows)
+    rank = F.row_number().over(Window.partitionBy("tok").orderBy("place", "entry"))
+    lists = stored(shared.join(entries.select("entry", "place", "raw", "n"), "entry").withColumn("rank", rank).drop("place"), "lists")
     found, low, high = None, 0, block
     while True:
         left = lists if found is None else lists.join(found, "entry", "left_anti")
-        early = lists.where((F.col("rank") > low) & (F.col("rank") <= high)).select("tok", F.col("entry").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("rank").alias("xrank"))
-        near = left.where(F.col("rank") > low + 1).join(early, "tok").where("xrank < rank AND x <> entry")
+        early = lists.where((F.col("rank") > low) & (F.col("rank") <= high)).select("tok", F.col("entry").alias("x"), F.col("raw").alias("xraw"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("rank").alias("xrank"))
+        near = left.where(F.col("rank") > low + 1).join(early, "tok").where("xrank < rank")
         # Overlap that sizes and places still allow, against what is needed.
-        most = 1 + F.least(F.col("n") - F.col("at"), F.col("xn") - F.col("xat")) - 1
+        most = F.least(F.col("n") - F.col("at"), F.col("xn") - F.col("xat"))
         need = percent * (F.col("n") + F.col("xn"))
         near = near.where((100 * F.least("n", "xn") >= percent * F.greatest("n", "xn")) & ((100 + percent) * most >= need))
-        pairs = near.select("entry", "x", "n", "xn").distinct()
-        both = pairs.join(tokens.withColumnRenamed("t", "yt"), "entry").join(tokens.select(F.col("entry").alias("x"), F.col("t").alias("xt")), "x")
-        common = F.size(F.array_intersect("yt", "xt"))
-        new = both.where((100 + percent) * common >= need).select("entry").distinct()
+        pairs = stored(near.select("entry", "raw", "x", "xraw", "n", "xn").distinct(), "pairs")
+        ends = pairs.select("entry", "raw").unionByName(pairs.select(F.col("x").alias("entry"), F.col("xraw").alias("raw")))
+        tokens = stored(_fetch(lines, ends, broadcast_rows), "tokens")
+        both = pairs.select("entry", "x", "n", "xn").join(tokens.withColumnRenamed("t", "yt"), "entry").join(tokens.select(F.col("entry").alias("x"), F.col("t").alias("xt")), "x")
+        new = both.where((100 + percent) * F.size(F.array_intersect("yt", "xt")) >= need).select("entry").distinct()
         found = stored(new if found is None else found.unionByName(new), "found")
         low, high = high, 3 * high
         if not lists.where(F.col("rank") > low).limit(1).count():
             return found
 
 
-def remove_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def remove_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """docs (doc_id, text, ...) with later matches taken out of text, and
     n_lines and n_removed added."""
     lines = lines_of(docs)
-    entries = stored(entries_of(lines, percent), "entries")
-    gone = matches(lines, entries, percent).withColumn("gone", F.lit(True))
+    held = line_table(lines, percent)
+    entries = stored(entries_of(held), "entries")
+    gone = matches(lines, held, entries, percent, broadcast_rows=broadcast_rows).withColumn("gone", F.lit(True))
     # Only entries that lose lines somewhere: all, or all but the first.
     losing = entries.join(gone, "entry", "left").where("again OR gone").select("entry", F.when(F.col("gone").isNull(), F.col("place")).alias("stay"))
-    tokens = lines.select("doc_id", "text_key", "line_no", _words("line").alias("w")).select("doc_id", "text_key", "line_no", _tokens(F.col("w")).alias("t"))
-    each = tokens.where("t IS NOT NULL").select("doc_id", "text_key", "line_no", F.xxhash64("t").alias("entry"))
-    lost = each.join(losing, "entry").where(F.col("stay").isNull() | (F.col("stay") != F.struct("doc_id", "text_key", "line_no")))
-    by_doc = lost.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lost"))  # at most a document's lines
+    lost = held.select("doc_id", "text_key", "line_no", "entry").join(losing, "entry")
+    lost = lost.where(F.col("stay").isNull() | (F.col("stay") != F.struct("doc_id", "text_key", "line_no")))
+    by_doc = stored(lost.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lost")), "lost")  # at most a document's lines
+    lines_lost = by_doc.agg(F.sum(F.size("lost") + 8)).first()[0] or 0
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64("text")})
-    joined = keyed.join(by_doc.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), ["_id", "_key"], "left")
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    joined = keyed.join(F.broadcast(by_doc) if lines_lost <= 4 * broadcast_rows else by_doc, ["_id", "_key"], "left")
     parts = F.split(F.coalesce("text", F.lit("")), "\n")
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("lost", i)), "\n")
     return joined.withColumns(
