@@ -12,22 +12,27 @@ def intake(spark: SparkSession, path: str, schema: StructType, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which wants an instant; a table as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def without_repeats(events: DataFrame, key: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:
     """First of events with an equal key within the watermark; works on streams
     (bounded state) and, exactly, on tables."""
     if events.isStreaming:
-        return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+        return _marked(events, time, late).dropDuplicatesWithinWatermark(key)
     return events.dropDuplicates(key)
 
 
 def windowed(events: DataFrame, width: str = "1 hour", slide: str | None = None, time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Counts and values per window and event type."""
-    source = events.withWatermark(time, late) if events.isStreaming else events
+    source = _marked(events, time, late)
     window = F.window(time, width, slide) if slide else F.window(time, width)
     return source.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Sessions of users without pauses longer than gap."""
-    source = events.withWatermark(time, late) if events.isStreaming else events
+    source = _marked(events, time, late)
     return source.groupBy(F.session_window(time, gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
