@@ -5,18 +5,17 @@ A line is the set of its distinct five-word shingles. Lines with equal sets are
 one entry, at the first place that has it. Entries have their tokens in one
 global order; an entry with n tokens shares one of its first
 n - ceil(0.8 n) + 1 with every entry of Jaccard 0.8 or more (prefix filter).
-Tokens that only one entry's prefix has are dropped at once. In the list of a token,
-entries meet the earlier ones block by block: the first `block` of the list,
-then twice as many, and so on, and an entry that has found an earlier match is
-not compared again. Sizes (length filter) and places of the token in both
-prefixes (positional filter) bound the overlap before tokens are fetched, and
-Jaccard decides. Later matches are removed: a line goes if an earlier line (by
-document id, then line number) of the input is at least 0.8 similar to it.
-
-The global order: tokens that are frequent in prefixes come last. They are
-found by counting the prefixes of the plain hash order, and the entries that
-have them there get new prefixes; see README for what counting every shingle
-costs instead.
+Tokens that only one entry's prefix has are dropped at once. In the list of a
+token, entries meet the first `block` entries, and those of longer lists that
+have found no earlier match then meet the others. Sizes (length filter), places
+of the token in both prefixes (positional filter) and parity sketches bound the
+overlap inside that join, so that few pairs become rows; their tokens are
+fetched and Jaccard decides. Later matches are removed: a line goes if an
+earlier line (by document id, then line number) of the input is at least 0.8
+similar to it.
+
+The global order is that of the tokens' hashes; see README for what counting
+every shingle, for an order of rarity, costs instead.
 
 Defined results: words are runs of anything but ASCII white space, in lower
 case; lines of fewer than five words have no shingle and stay; null text is
@@ -93,56 +92,62 @@ def _shared(postings: DataFrame) -> DataFrame:
     return several.groupBy("tok", "entry").agg(F.min("at").alias("at"))
 
 
-def _fetch(lines: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Tokens (entry, t) of the wanted entries (entry, raw)."""
-    keys = stored(wanted.select("entry", "raw").distinct(), "wanted")
-    few = keys.count() <= broadcast_rows
-    joined = lines.select("raw", "line").join(F.broadcast(keys) if few else keys, "raw").dropDuplicates(["raw"])
-    return _with_tokens(joined, "entry")
-
-
-def _demote(lines: DataFrame, held: DataFrame, entries: DataFrame, shared: DataFrame, percent: int, frequent: int, broadcast_rows: int) -> DataFrame:
-    """Postings after tokens of more than `frequent` entries went to the end of
-    the order: entries that had one in their prefix get another prefix."""
-    hot = stored(shared.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > frequent), "hot")
-    if not hot.limit(1).count():
-        return shared
-    affected = stored(shared.join(hot, "tok", "left_semi").select("entry").distinct().join(entries.select("entry", "raw", "n"), "entry"), "affected")
-    tokens = _fetch(lines, affected, broadcast_rows).select("entry", F.explode("t").alias("tok"))
-    ordered = tokens.join(hot, "tok", "left").groupBy("entry").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("s"))
-    n = F.size("s")
-    renewed = stored(ordered.select("entry", F.posexplode(F.slice("s", F.lit(1), n - _least(n, percent) + 1)).alias("at", "x")).select(F.col("x.tok").alias("tok"), "entry", "at"), "renewed")
-    others = held.join(affected.select("entry"), "entry", "left_anti").select("entry", F.posexplode("prefix").alias("at", "tok"))
-    wanted = renewed.select("tok").distinct()
-    met = others.join(wanted, "tok", "left_semi").select("tok", "entry", "at")
-    rest = shared.join(affected.select("entry"), "entry", "left_anti").select("tok", "entry", "at")
-    return stored(_shared(rest.unionByName(renewed).unionByName(met)), "shared")
-
-
-def matches(lines: DataFrame, held: DataFrame, entries: DataFrame, percent: int = 80, frequent: int = 256, block: int = 16, broadcast_rows: int = 500_000) -> DataFrame:
+def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Tokens (entry, t) of the wanted entries (entry, place), from the texts.
+    Wanted lines are broadcast, by document, only while they are few."""
+    lines = stored(wanted.select("entry", "place.doc_id", "place.text_key", "place.line_no").dropDuplicates(["entry"]), "wanted")
+    n = lines.count()
+    by_doc = lines.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "entry")).alias("wanted"))  # at most a document's lines
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    met = texts.join(F.broadcast(by_doc) if n <= broadcast_rows else by_doc, ["doc_id", "text_key"])
+    parts = met.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    found = parts.select("w.entry", F.get("parts", F.col("w.line_no")).alias("line"))
+    return _with_tokens(found, "entry")
+
+
+def _sketch(tokens: DataFrame) -> DataFrame:
+    """entry, s0 to s3: parities of 256 classes of tokens. Two sketches differ
+    in at most as many bits as the sets differ in tokens."""
+
+    def word(k: int) -> Column:
+        own = F.filter("t", lambda x: F.pmod(x, F.lit(4)) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 2), F.lit(64)).cast("int"))))
+
+    return tokens.select("entry", *(word(k).alias(f"s{k}") for k in range(4)))
+
+
+def matches(docs: DataFrame, held: DataFrame, entries: DataFrame, percent: int = 80, block: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Entries (entry) that an earlier entry matches."""
-    postings = held.select("entry", F.posexplode("prefix").alias("at", "tok"))
-    shared = _demote(lines, held, entries, stored(_shared(postings), "shared"), percent, frequent, broadcast_rows)
+    shared = stored(_shared(held.select("entry", F.posexplode("prefix").alias("at", "tok"))), "shared")
     rank = F.row_number().over(Window.partitionBy("tok").orderBy("place", "entry"))
-    lists = stored(shared.join(entries.select("entry", "place", "raw", "n"), "entry").withColumn("rank", rank).drop("place"), "lists")
-    found, low, high = None, 0, block
-    while True:
-        left = lists if found is None else lists.join(found, "entry", "left_anti")
-        early = lists.where((F.col("rank") > low) & (F.col("rank") <= high)).select("tok", F.col("entry").alias("x"), F.col("raw").alias("xraw"), F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("rank").alias("xrank"))
-        near = left.where(F.col("rank") > low + 1).join(early, "tok").where("xrank < rank")
-        # Overlap that sizes and places still allow, against what is needed.
-        most = F.least(F.col("n") - F.col("at"), F.col("xn") - F.col("xat"))
-        need = percent * (F.col("n") + F.col("xn"))
-        near = near.where((100 * F.least("n", "xn") >= percent * F.greatest("n", "xn")) & ((100 + percent) * most >= need))
-        pairs = stored(near.select("entry", "raw", "x", "xraw", "n", "xn").distinct(), "pairs")
-        ends = pairs.select("entry", "raw").unionByName(pairs.select(F.col("x").alias("entry"), F.col("xraw").alias("raw")))
-        tokens = stored(_fetch(lines, ends, broadcast_rows), "tokens")
-        both = pairs.select("entry", "x", "n", "xn").join(tokens.withColumnRenamed("t", "yt"), "entry").join(tokens.select(F.col("entry").alias("x"), F.col("t").alias("xt")), "x")
-        new = both.where((100 + percent) * F.size(F.array_intersect("yt", "xt")) >= need).select("entry").distinct()
-        found = stored(new if found is None else found.unionByName(new), "found")
-        low, high = high, 3 * high
-        if not lists.where(F.col("rank") > low).limit(1).count():
-            return found
+    lists = stored(shared.join(entries.select("entry", "place", "n"), "entry").withColumn("rank", rank), "lists")
+    sketches = stored(_sketch(_fetch(docs, lists, broadcast_rows)), "sketches")
+    n = sketches.count()
+    rows = lists.drop("place").join(F.broadcast(sketches) if n <= broadcast_rows else sketches, "entry")
+    # Sizes, what the places leave of both entries, and the sketches bound the
+    # overlap; nothing that matches fails them.
+    both = F.col("n") + F.col("xn")
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"xs{k}"))) for k in range(4)), F.lit(0))
+    bound = (
+        (100 * F.least("n", "xn") >= percent * F.greatest("n", "xn"))
+        & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("xn") - F.col("xat")) >= percent * both)
+        & ((100 + percent) * differ <= (100 - percent) * both)
+    )
+
+    def verified(late: DataFrame, early: DataFrame) -> DataFrame:
+        early = early.withColumnsRenamed({"entry": "x", "n": "xn", "at": "xat", "rank": "xrank"} | {f"s{k}": f"xs{k}" for k in range(4)})
+        near = late.join(early, "tok").where((F.col("xrank") < F.col("rank")) & bound)
+        pairs = stored(near.select("entry", "x", "n", "xn").distinct(), "pairs")
+        ends = pairs.select("entry").unionByName(pairs.select(F.col("x").alias("entry"))).distinct().join(entries.select("entry", "place"), "entry")
+        tokens = stored(_fetch(docs, ends, broadcast_rows), "tokens")
+        sides = pairs.join(tokens.withColumnRenamed("t", "yt"), "entry").join(tokens.select(F.col("entry").alias("x"), F.col("t").alias("xt")), "x")
+        return sides.where((100 + percent) * F.size(F.array_intersect("yt", "xt")) >= percent * both).select("entry").distinct()
+
+    found = stored(verified(rows, rows.where(F.col("rank") <= block)), "found")
+    long = rows.where(F.col("rank") > block)
+    if not lists.where(F.col("rank") > block).limit(1).count():
+        return found
+    return stored(found.unionByName(verified(long.join(found, "entry", "left_anti"), long)), "found")
 
 
 def remove_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
@@ -151,7 +156,7 @@ def remove_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_0
     lines = lines_of(docs)
     held = line_table(lines, percent)
     entries = stored(entries_of(held), "entries")
-    gone = matches(lines, held, entries, percent, broadcast_rows=broadcast_rows).withColumn("gone", F.lit(True))
+    gone = matches(docs, held, entries, percent).withColumn("gone", F.lit(True))
     # Only entries that lose lines somewhere: all, or all but the first.
     losing = entries.join(gone, "entry", "left").where("again OR gone").select("entry", F.when(F.col("gone").isNull(), F.col("place")).alias("stay"))
     lost = held.select("doc_id", "text_key", "line_no", "entry").join(losing, "entry")
