@@ -10,12 +10,12 @@ from .registry import query, table
 
 # A sheet row per line item; every third row of a document carries on the row before.
 _CODE = "concat(part % 3 + 1, CASE WHEN item_no % 2 = 0 THEN concat('.', part % 4 + 1, CASE WHEN item_no % 4 = 0 THEN '.1' ELSE '' END) ELSE '' END)"
-_SEQ = "row_number() OVER (PARTITION BY doc_id ORDER BY item_no, line_key)"
+_SEQ = "row_number() OVER (PARTITION BY doc_id ORDER BY item_no, line_key, quantity, price)"
 _SHEET = f"(SELECT doc_id, {_SEQ} AS seq, material, {_CODE} AS code, quantity, unit_raw, part FROM {BOQ})"
 
 
 def sheet(spark, sf):
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_no", "line_key"))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_no", "line_key", "quantity", "price"))
     code = F.expr(_CODE.replace("concat(", "concat("))
     return boq_rows(spark, sf).select("doc_id", seq.alias("seq"), "material", code.alias("code"), "quantity", "unit_raw", "part")
 
