@@ -27,8 +27,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this driver has handed out, for forget().
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sparktally/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sparktally/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete this driver's intermediate tables. Results that were not written
+    elsewhere can't be read after that."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparktally.llm import _blocks, decontaminate, jaccard_join, line_dedup, lm_score, packing, substring_dedup, token_counts, toxicity, vp_search, warc
+from sparktally.llm import _blocks, _shared, decontaminate, jaccard_join, line_dedup, lm_score, packing, substring_dedup, token_counts, toxicity, vp_search, warc
 
 from .helpers import awkward, docs, with_clashes, words
 
@@ -47,6 +47,16 @@ def test_many_small_blocks_give_the_same(spark, small):
     assert rounded(one) == rounded(many)
 
 
+def test_intermediate_tables_can_go(spark):
+    import os
+
+    d = _shared.stored(docs(spark, [(1, "a")]), "x")
+    path = d.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    _shared.forget(spark)
+    assert not os.path.exists(path)
+
+
 # --- 1 and 2
 
 
