@@ -156,9 +156,9 @@ class Table:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.values.shape[1]))
-        for k in range(0, len(words), 8192):
-            codes, sizes = _codes(words[k : k + 8192])
-            part = out[k : k + 8192]
+        for k in range(0, len(words), 4096):
+            codes, sizes = _codes(words[k : k + 4096])
+            part = out[k : k + 4096]
             for weight, keys, inside in _features(codes, sizes):
                 rows, _ = np.nonzero(inside)
                 at = self.find(keys[inside])
@@ -257,26 +257,35 @@ def train(rows: list[tuple[str, int]], landmarks: int = 96, least_docs: int = 4,
     y = np.array([t for _, t in docs], bool)
     if not y.any() or y.all():
         return Model(None, 0, 0, float(y.mean()) if len(y) else 0.0)
-    sentences = [[units(s) for s in _SENTENCE.split(x)] for x, _ in docs]
-    words = [set().union(*s) for s in sentences]
+    # Texts are cut anew whenever they are needed: only counts and the distinct
+    # clean words stay in memory.
     df = [Counter(), Counter()]
-    for w, toxic in zip(words, y):
-        df[int(toxic)].update(w)
+    for text, toxic in docs:
+        df[int(toxic)].update(units(text))
     n1, n0 = int(y.sum()), int((~y).sum())
-    gain = {w: np.log((c + 0.5) / (n1 + 1)) - np.log((df[0][w] + 0.5) / (n0 + 1)) for w, c in df[1].items() if c >= min(least_docs, max(1, n1 // 4)) and len(w) > 2}
+    least = min(least_docs, max(1, n1 // 4))
+    gain = {w: np.log((c + 0.5) / (n1 + 1)) - np.log((df[0][w] + 0.5) / (n0 + 1)) for w, c in df[1].items() if c >= least and len(w) > 2}
     # A positive word is, documents counted alike, at least 20 times as common in toxic ones.
     positive = sorted((w for w, g in gain.items() if g > np.log(20)), key=lambda w: (-df[1][w], w))
     if not positive:
         return Model(None, 0, 0, float(y.mean()))
     bad = set(positive)
-    clean = sorted({p for s, toxic in zip(sentences, y) for u in s if not (toxic and u & bad) for w in u - bad for p in pieces(w)} - {""})
+    del df
+    kept: set[str] = set()
+    for text, toxic in docs:
+        for sentence in _SENTENCE.split(text):
+            u = units(sentence)
+            if not (toxic and u & bad):
+                kept.update(p for w in u - bad for p in pieces(w))
+    clean = sorted(kept - {""})
+    del kept
     pos = positive + [v for w in positive for v in _stretched(w, rng)]
     chosen = [clean[i] for i in rng.permutation(len(clean))]
     negative = chosen[:4000]
     marks = [p for w in positive[:landmarks] for p in pieces(w)[:1]]
     # Clean landmarks: the clean words that are nearest to the positive ones.
     near = Table(_columns(vectors(marks)), len(marks))
-    close = near(chosen[:40_000]).max(axis=1)
+    close = near(chosen[:30_000]).max(axis=1)
     marks += [chosen[i] for i in np.argsort(-close, kind="stable")[:landmarks]]
     features = vectors(marks)
     kernel = Table(_columns(features), len(marks))
@@ -302,10 +311,8 @@ def train(rows: list[tuple[str, int]], landmarks: int = 96, least_docs: int = 4,
         worst = [clean[i] for i in np.argsort(-margin, kind="stable")[:2000] if clean[i] not in held]
         held.update(worst)
         negative = sorted(held)
-    distinct = sorted({p for w in words for u in w for p in pieces(u)})
-    margin = dict(zip(distinct, model.margins(distinct).tolist()))
-    floor = model.bias
-    top = np.array([max((margin[p] for u in w for p in pieces(u)), default=floor) for w in words])
+    scorer = Scorer(model, 100_000)
+    top = np.concatenate([scorer.margins([x for x, _ in docs[k : k + 100]]) for k in range(0, len(docs), 100)])
     model.slope, model.shift = _logistic(top, y)
     return model
 
@@ -319,15 +326,15 @@ def _columns(features: list[dict[int, float]]) -> dict[int, np.ndarray]:
 
 
 class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, cache: int = CACHE):
+        self.model, self.cache, self.known = model, cache, {}
 
     def margins(self, texts: list[str]) -> np.ndarray:
         if self.model.table is None:
             return np.zeros(len(texts))
         found = [units(t) for t in texts]
         new = set().union(*found).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.cache:
             self.known, new = {}, set().union(*found)
         parts = [(w, p) for w in new for p in pieces(w)]
         for (w, _), m in zip(parts, self.model.margins([p for _, p in parts]).tolist() if parts else []):
@@ -355,7 +362,7 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 2500, doc_bytes: int = 65_536) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1500, doc_bytes: int = 32_768) -> Model:
     """Model from labels (doc_id, toxic) whose documents aren't held out."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = None
