@@ -109,11 +109,10 @@ def _sketch(tokens: DataFrame) -> DataFrame:
     """entry, s0 to s3: parities of 256 classes of tokens. Two sketches differ
     in at most as many bits as the sets differ in tokens."""
 
-    def word(k: int) -> Column:
-        own = F.filter("t", lambda x: F.pmod(x, F.lit(4)) == k)
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 2), F.lit(64)).cast("int"))))
-
-    return tokens.select("entry", *(word(k).alias(f"s{k}") for k in range(4)))
+    each = tokens.select("entry", F.explode_outer("t").alias("x"))  # explode would filter on t, see _with_tokens
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("x", 2), F.lit(64)).cast("int"))
+    own = [F.bit_xor(F.when(F.pmod("x", F.lit(4)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(4)]
+    return each.groupBy("entry").agg(*own)
 
 
 def matches(docs: DataFrame, held: DataFrame, entries: DataFrame, percent: int = 80, block: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
