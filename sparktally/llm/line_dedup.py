@@ -93,8 +93,9 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Tokens (entry, t) of the wanted entries (entry, place), from the texts.
-    Wanted lines are broadcast, by document, only while they are few."""
+    """Tokens (entry, t) of the wanted entries (entry, place), from the texts,
+    one row an entry, also where rows of docs are repeated. Wanted lines are
+    broadcast, by document, only while they are few."""
     lines = stored(wanted.select("entry", "place.doc_id", "place.text_key", "place.line_no").dropDuplicates(["entry"]), "wanted")
     n = lines.count()
     by_doc = lines.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "entry")).alias("wanted"))  # at most a document's lines
@@ -102,7 +103,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame
     met = texts.join(F.broadcast(by_doc) if n <= broadcast_rows else by_doc, ["doc_id", "text_key"])
     parts = met.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
     found = parts.select("w.entry", F.get("parts", F.col("w.line_no")).alias("line"))
-    return _with_tokens(found, "entry")
+    return _with_tokens(found.dropDuplicates(["entry"]), "entry")
 
 
 def _sketch(tokens: DataFrame) -> DataFrame:

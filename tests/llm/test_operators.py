@@ -378,3 +378,14 @@ def test_line_dedup(spark):
     entries = line_dedup.entries_of(held)
     d = docs(spark, rows)
     assert rows_of(line_dedup.matches(d, held, entries), "entry") == rows_of(line_dedup.matches(d, held, entries, block=2, broadcast_rows=0), "entry")
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_lines_near_those_of_repeated_rows(spark, limit):
+    a, b, c = (words(30, s, 10_000) for s in (70, 71, 72))
+    rows = [(1, a), (1, a), (2, a + " end"), (3, b), (4, b + " end"), (4, b + " end"), (5, c + " end"), (None, c), (None, c)]
+    d = docs(spark, rows)
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(d).collect()), key=repr)
+    assert got == plain_line_removal(rows)
+    held = line_dedup.line_table(line_dedup.lines_of(d), 80)
+    assert line_dedup.matches(d, held, line_dedup.entries_of(held), broadcast_rows=limit).count() == 3
