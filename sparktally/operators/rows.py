@@ -150,6 +150,14 @@ def trade_rollup(rows: DataFrame) -> DataFrame:
     return t.rollup("trade").agg(F.count(F.lit(1)).alias("n_items"), F.sum("quantity").alias("quantity"), F.grouping("trade").cast("int").alias("is_total"))
 
 
+def trade_serials(rows: DataFrame) -> DataFrame:
+    """Every row's trade and its serial on its document's sheet, which has the
+    items by trade, then by lower-case description. No task has more than
+    whole documents."""
+    t = rows.withColumn("trade", trade(F.col("material")))
+    return t.withColumn("serial", F.row_number().over(Window.partitionBy("doc_id").orderBy("trade", F.lower("material"), "line_key")))
+
+
 def junk(rows: DataFrame) -> Column:
     """One boolean over all junk predicates, evaluated in one pass."""
     m = F.lower(F.trim("material"))

@@ -213,6 +213,16 @@ def trade_sheet(spark, sf):
     return t.select("trade", "line_key", F.row_number().over(Window.orderBy("trade", F.lower("material"), "line_key")).alias("serial"))
 
 
+@query(
+    "trade_sheets",
+    f"""SELECT doc_id, trade, line_key, row_number() OVER (PARTITION BY doc_id ORDER BY trade, lower(material), line_key) AS serial
+        FROM (SELECT {SQL_TRADE} AS trade, material, line_key, doc_id FROM {BOQ})""",
+)
+def trade_sheets(spark, sf):
+    """Serial numbers of all exports: a sheet for every document, all rows."""
+    return rows.trade_serials(boq_rows(spark, sf)).select("doc_id", "trade", "line_key", "serial")
+
+
 _RISK = f"""(SELECT *, least(((material = '')::int + (length(material) < 3 AND material <> '')::int + (quantity < 0)::int
   + (coalesce(unit_canonical, '') IN ('', 'no.', 'nos'))::int + (coalesce(location, '') = '')::int) / 3.0::double, 1.0) AS ambiguity,
   CASE WHEN {sql_any(_M, risk.CONSTRUCTION)} AND coalesce(standard, '') = '' THEN 0.9::double

@@ -187,3 +187,15 @@ def test_stream_gives_what_the_table_gives(spark, small, tmp_path):
     got = spark.table("windows").select("start", "event_type", "n")
     want = intake.windowed(events.withColumn("ts", F.col("ts").cast("timestamp"))).select("start", "event_type", "n")
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_trade_sheets_number_every_row(spark, small):
+    items = [(r.doc_id, r.material.lower(), r.line_key) for r in boq_rows(spark, small).select("doc_id", "material", "line_key").collect()]
+    got = QUERIES["trade_sheets"](spark, small).collect()
+    assert sorted(r.line_key for r in got) == sorted(k for _, _, k in items)
+    trades, material = {r.line_key: r.trade for r in got}, {k: m for _, m, k in items}
+    sheets_ = {}
+    for d, m, k in sorted(items, key=lambda x: (x[0], trades[x[2]], material[x[2]], x[2])):
+        sheets_.setdefault(d, []).append(k)
+    assert {r.line_key: (r.doc_id, r.serial) for r in got} == {k: (d, i) for d, ks in sheets_.items() for i, k in enumerate(ks, 1)}
+    assert len(sheets_) > 100
