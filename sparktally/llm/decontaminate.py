@@ -16,8 +16,10 @@ shuffles.
 Defined results: words are runs of letters and digits, in lower case; an item
 of fewer than five words is one shingle of all its words; null or wordless
 items and documents match nothing; documents equal in id and text are one;
-repeated items of one id count as one item with the larger text; empty tables
-give no rows; other columns are ignored.
+an item is a distinct pair of id and words, so that every text of a repeated or
+null id is searched, and a document has a row for each one that it contains;
+empty tables give no rows; other columns are ignored. (The SQL takes ids as
+unique and not null.)
 """
 
 from __future__ import annotations
@@ -52,11 +54,12 @@ def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, threshold: float) -> DataFrame:
-    """benchmark (item_id, text) -> item_id, n (words of a shingle), grams
-    (distinct texts), keys (their hashes, least first), q, need and size class."""
+    """benchmark (item_id, text) -> item (hash of id and words), item_id, n (words
+    of a shingle), grams (distinct texts), keys (their hashes, least first), q,
+    need and size class."""
     words = (
-        benchmark.groupBy("item_id").agg(F.max("text").alias("text"))
-        .select("item_id", text_words("text").alias("w"))
+        benchmark.select("item_id", text_words("text").alias("w")).distinct()
+        .withColumn("item", F.xxhash64("item_id", "w"))
         .withColumn("n", F.least(F.lit(SHINGLE), F.size("w")))
         .where("n > 0")
     )
@@ -64,7 +67,7 @@ def items_of(benchmark: DataFrame, threshold: float) -> DataFrame:
     for n in range(SHINGLE, 0, -1):
         grams = F.when(F.col("n") == n, spelled(F.col("w"), n)).otherwise(grams)
         keys = F.when(F.col("n") == n, hashed(F.col("w"), n)).otherwise(keys)
-    out = words.select("item_id", "n", F.array_distinct(grams).alias("grams"), F.sort_array(F.array_distinct(keys)).alias("keys"))
+    out = words.select("item", "item_id", "n", F.array_distinct(grams).alias("grams"), F.sort_array(F.array_distinct(keys)).alias("keys"))
     miss = F.floor((1 - threshold) * F.size("grams") + 1e-9).cast("int")
     return (
         out.withColumn("q", F.size("grams"))
@@ -80,20 +83,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = stored(items_of(benchmark, threshold), "items")
     sizes = items.groupBy("n").agg(F.sum("sketch").alias("rows")).collect()  # at most five rows
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_words("text").alias("w"))
-    sketch = items.select("n", "item_id", "need", F.explode(F.slice("keys", F.lit(1), F.col("sketch"))).alias("key"))
+    sketch = items.select("n", "item", "need", F.explode(F.slice("keys", F.lit(1), F.col("sketch"))).alias("key"))
     found = []
     for n in sorted(r.n for r in sizes):
         total = next(r.rows for r in sizes if r.n == n)
         hits = rows.select("doc_id", "text_key", F.explode(hashed(F.col("w"), n)).alias("key"))
         hits = hits.join(_small(sketch.where(F.col("n") == n), total, broadcast_rows), "key")
-        found.append(hits.groupBy("doc_id", "text_key", "item_id").agg(F.count_distinct("key").alias("hits"), F.first("need").alias("need")).where("hits >= need"))
-    empty = items.limit(0).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "item_id")
-    pairs = empty.select(*(F.col(c).cast(t) for c, t in (("doc_id", dict(docs.dtypes)["doc_id"]), ("text_key", "bigint"))), "item_id")
+        found.append(hits.groupBy("doc_id", "text_key", "item").agg(F.count_distinct("key").alias("hits"), F.first("need").alias("need")).where("hits >= need"))
+    empty = items.limit(0).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_key"), "item")
+    pairs = empty.select(*(F.col(c).cast(t) for c, t in (("doc_id", dict(docs.dtypes)["doc_id"]), ("text_key", "bigint"))), "item")
     for f in found:
-        pairs = pairs.unionByName(f.select("doc_id", "text_key", "item_id"))
+        pairs = pairs.unionByName(f.select("doc_id", "text_key", "item"))
     pairs = stored(pairs, "candidates")
     # Verification: the candidates' documents again, with their shingles' texts.
-    by_doc = pairs.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("items"))  # at most all items
+    by_doc = pairs.groupBy("doc_id", "text_key").agg(F.collect_set("item").alias("items"))  # at most all items
     n_docs = pairs.select("doc_id", "text_key").distinct().count()
     texts = docs.withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text").alias("d")
     small = _small(by_doc, n_docs, broadcast_rows).alias("c")
@@ -102,9 +105,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     matched = matched.select("doc_id", "text_key", "items", text_words("text").alias("w"))
     ns = [r.n for r in sizes]
     own = matched.select("doc_id", "text_key", "items", *(F.array_distinct(spelled(F.col("w"), n)).alias(f"own{n}") for n in ns))
-    own = own.select("doc_id", "text_key", *(f"own{n}" for n in ns), F.explode("items").alias("item_id"))
+    own = own.select("doc_id", "text_key", *(f"own{n}" for n in ns), F.explode("items").alias("item"))
     n_items = items.count()
-    full = own.join(_small(items.select("item_id", "n", "grams", "q"), n_items, broadcast_rows // 50), "item_id")
+    full = own.join(_small(items.select("item", "item_id", "n", "grams", "q"), n_items, broadcast_rows // 50), "item")
     shared = F.lit(0)
     for n in ns:
         shared = F.when(F.col("n") == n, F.size(F.array_intersect("grams", f"own{n}"))).otherwise(shared)

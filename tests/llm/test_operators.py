@@ -145,6 +145,15 @@ def test_contamination_finds_damaged_passages(spark, limit):
     assert rows_of(decontaminate.contaminated(d, b, broadcast_rows=limit), "doc_id", "item_id", "n_shared") == [(1, 1, 35)]
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_contamination_by_repeated_and_null_ids(spark, limit):
+    a, b, c, e = (words(20, s, 10_000) for s in (80, 81, 82, 83))
+    d = docs(spark, [(1, "x " + a), (2, "x " + b), (3, a + " " + b), (4, c), (5, e), (None, c), (6, words(50, 84))])
+    items = [(7, a), (7, b), (7, a), (7, a.upper() + "."), (None, c), (None, e), (None, None)]
+    got = rows_of(decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=limit), "doc_id", "item_id", "n_shared")
+    assert got == sorted([(1, 7, 16), (2, 7, 16), (3, 7, 16), (3, 7, 16), (4, None, 16), (5, None, 16), (None, None, 16)], key=repr)
+
+
 def test_no_benchmark(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs(spark, awkward()), b).count() == 0
