@@ -1,166 +1,204 @@
 """Operator 10: near-duplicate lines by an exact set-similarity join.
 DataFrame operations only.
 
-A line is the set of its distinct five-word shingles. Lines with equal sets are
-one entry, at the first place that has it. Entries have their tokens in one
-global order; an entry with n tokens shares one of its first
-n - ceil(0.8 n) + 1 with every entry of Jaccard 0.8 or more (prefix filter).
-Tokens that only one entry's prefix has are dropped at once. In the list of a
-token, entries meet the first `block` entries, and those of longer lists that
-have found no earlier match then meet the others. Sizes (length filter), places
-of the token in both prefixes (positional filter) and parity sketches bound the
-overlap inside that join, so that few pairs become rows; their tokens are
-fetched and Jaccard decides. Later matches are removed: a line goes if an
-earlier line (by document id, then line number) of the input is at least 0.8
-similar to it.
-
-The global order is that of the tokens' hashes; see README for what counting
-every shingle, for an order of rarity, costs instead.
+A line is the set of its distinct words. Lines with equal sets are one entry, at
+the first place that has it, and entries are numbered in the order of places.
+The words of an entry are ordered by rarity: by the count of their hash slot in
+the whole corpus (`slots` slots, a table whose size never grows), then by hash.
+Of two entries with Jaccard 0.8 or more, the larger has one of its first
+n - ceil(0.8 n) + 1 words among the first n - ceil(8/9 n) + 1 of the smaller
+(prefix filter); entries of fewer than four words resemble only equal ones.
+Postings of these prefixes are joined by word, a join that may split the list of
+a frequent word over tasks. Inside the join, sizes (length filter), the word's
+places in both entries (positional filter) and parity sketches bound the
+overlap; of an entry's candidates only the earliest becomes a row. Its words and
+the entry's are fetched, and Jaccard decides. Entries that their earliest
+candidate does not match then meet all their candidates. Later matches are
+removed: a line goes if an earlier line (by document id, then line number) of
+the input is at least 0.8 similar to it.
 
 Defined results: words are runs of anything but ASCII white space, in lower
-case; lines of fewer than five words have no shingle and stay; null text is
-empty; null ids come last; documents equal in id and text are one document, so
-neither loses lines to the other, and both are returned; an empty table gives
-no rows; other columns are kept.
+case; lines without words stay; a line of one to three words goes only if an
+earlier one has the same words; null text is empty; null ids come last;
+documents equal in id and text are one document, so neither loses lines to the
+other, and both are returned; very long lines and texts are taken whole; an
+empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ._shared import SPACE, stored
 
-SHINGLE = 5
 LAST = 2**63 - 1
+SLOTS = 1 << 18
+#: Entries of more words have parities of twice as many classes.
+LONG = 64
+PLACE = ("doc_id", "text_key", "line_no")
+
+
+def _split(text: str, ends: str = "\t\x0b\x0c\r") -> Column:
+    """Words of a text and empty strings. To split at one plain character needs
+    no pattern matching, and is several times faster."""
+    out = F.lower(F.col(text))
+    for c in ends:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.split(out, " ")
 
 
 def _words(line: str) -> Column:
-    white = " \t\x0b\x0c\r"  # lines end at line feeds
-    return F.split(F.trim(F.lower(F.col(line)), F.lit(white)), f"[{white}]+")
+    """Distinct words of a line."""
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
-def _tokens(hashes: Column) -> Column:
-    """Sorted distinct shingles of an array of word hashes; null if too few."""
-    keys = F.transform(F.sequence(F.lit(0), F.size(hashes) - SHINGLE), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(SHINGLE))))
-    return F.when(F.size(hashes) >= SHINGLE, F.sort_array(F.array_distinct(keys)))
+def _least(n: Column, percent: int) -> Column:
+    """Fewest words that an entry of n shares with a match."""
+    return F.ceil(n * percent / 100).cast("int")
 
 
-def _with_tokens(lines: DataFrame, *keep: str) -> DataFrame:
-    """Adds t, the tokens of `line`, to the kept columns. Filters on t belong
-    after a written table: pushed down, they would compute it again, with the
-    word hashes spelled out for every shingle."""
-    words = lines.select(*keep, _words("line").alias("w"))
-    hashes = words.select(*keep, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    return hashes.select(*keep, _tokens(F.col("h")).alias("t"))
+def _least_of_smaller(n: Column, percent: int) -> Column:
+    """Fewest words that an entry of n shares with a match that is no smaller."""
+    return F.ceil(n * (2 * percent) / (100 + percent)).cast("int")
 
 
-def _least(n: Column, percent: int) -> Column:
-    """Fewest tokens that an entry of n shares with a match."""
-    return F.ceil(n * percent / 100).cast("int")
+def rarity(docs: DataFrame, slots: int = SLOTS) -> Column:
+    """Array of `slots` numbers: four times the binary logarithm of how many
+    words of all texts fall into a slot."""
+    spark = docs.sparkSession
+    words = docs.select(F.explode(_split("text", "\n\t\x0b\x0c\r")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(slots - 1)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.coalesce(F.floor(4 * F.log2("n")), F.lit(0)).cast("int")
+    every = spark.range(slots).join(F.broadcast(counts), "id", "left").select(F.struct("id", level.alias("level")).alias("s"))
+    one = every.agg(F.to_json(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["level"]))).first()[0]
+    return F.from_json(F.lit(one), "array<int>")  # a constant of the plan
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, raw (hash of the line), line."""
-    return (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select("doc_id", "text_key", "line_no", F.xxhash64("line").alias("raw"), "line")
-    )
+def _some_left(n: Column, percent: int) -> Column:
+    """Entries of n words that can match others than equal ones."""
+    return n * (100 - percent) >= percent
 
 
-def line_table(lines: DataFrame, percent: int) -> DataFrame:
-    """Stored, one row per line that has tokens: its place, raw, entry (hash of
-    its set), n and prefix. All tokens are computed here, once."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, line_no, line."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("parts"))
+    return keyed.select("doc_id", "text_key", F.posexplode("parts").alias("line_no", "line"))  # a text's hash once, not for every line
+
+
+def _parity(t: str, own=None) -> Column:
+    """Parities of 64 classes of tokens."""
+    one = F.lit(1).cast("long")
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x) if own is None else F.when(own(x), bit(x)).otherwise(F.lit(0).cast("long"))))
+
+
+def line_table(docs: DataFrame, percent: int = 80, slots: int = SLOTS) -> DataFrame:
+    """Stored, one row per line that has words: its place, entry (128 bits of its
+    set), n, prefix, and sketches z and q. All tokens are computed here, once."""
+    level = rarity(docs, slots)
+    slot = lambda w: F.get(level, F.xxhash64(w).bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long")
+    token = lambda w: F.call_function("shiftleft", slot(w), F.lit(55)).bitwiseOR(F.call_function("shiftrightunsigned", F.xxhash64(w), F.lit(9)))
+    words = lines_of(docs).select(*PLACE, F.transform(_split("line"), token).alias("h"))
+    tokens = words.select(*PLACE, F.sort_array(F.array_remove(F.array_distinct("h"), token(F.lit("")))).alias("t"))
     n = F.size("t")
-    prefix = F.slice("t", F.lit(1), n - _least(n, percent) + 1)
-    tokens = _with_tokens(lines, "doc_id", "text_key", "line_no", "raw")
-    each = tokens.select("doc_id", "text_key", "line_no", "raw", F.xxhash64("t").alias("entry"), n.alias("n"), prefix.alias("prefix"))
-    return stored(each, "lines").where("n IS NOT NULL")
+    # A prefix needs no order of its own any more: 32 bits of a token will do.
+    prefix = F.when(_some_left(n, percent), F.transform(F.slice("t", F.lit(1), n - _least(n, percent) + 1), lambda x: F.hash(x)))
+    return stored(
+        tokens.select(
+            *PLACE, F.xxhash64("t").alias("e1"), F.xxhash64(F.lit(1), "t").alias("e2"), n.alias("n"), prefix.alias("prefix"), _parity("t").alias("z"),
+            F.when(n > LONG, _parity("t", lambda x: x.bitwiseAND(F.lit(64)) > 0)).otherwise(F.lit(0).cast("long")).alias("q"),
+        ),
+        "lines",
+    ).where("n > 0")  # a filter on t would compute it twice
 
 
 def entries_of(held: DataFrame) -> DataFrame:
-    """Distinct sets: entry, n, first place, raw, and whether it occurs again."""
-    each = held.select("entry", "n", "raw", F.struct("doc_id", "text_key", "line_no").alias("place"))
-    return each.groupBy("entry").agg(
-        F.min("place").alias("place"), F.min("raw").alias("raw"), F.first("n").alias("n"), (F.min("place") < F.max("place")).alias("again")
+    """Stored, one row per distinct set: eid (ascending with its first place),
+    e1, e2, n, prefix, z, q, the place, and whether it occurs again."""
+    place = F.struct(*PLACE)
+    each = held.groupBy("e1", "e2").agg(
+        F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("n", "prefix", "z", "q")), (F.min(place) < F.max(place)).alias("again")
     )
+    ordered = each.select("*", "place.*").repartitionByRange("doc_id", "text_key", "line_no").sortWithinPartitions("doc_id", "text_key", "line_no")
+    return stored(ordered.select(F.monotonically_increasing_id().alias("eid"), "e1", "e2", "n", "prefix", "z", "q", "again", *PLACE), "entries")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Distinct postings (tok, entry, at) of tokens that several entries have."""
-    w = Window.partitionBy("tok")
-    several = postings.withColumns({"lo": F.min("entry").over(w), "hi": F.max("entry").over(w)}).where("lo < hi")
-    return several.groupBy("tok", "entry").agg(F.min("at").alias("at"))
+def _postings(entries: DataFrame, percent: int, smaller: bool) -> DataFrame:
+    """tok, eid, n, at, z, q of the prefixes, or of those as the smaller side."""
+    n = F.col("n")
+    held = F.slice("prefix", F.lit(1), n - _least_of_smaller(n, percent) + 1) if smaller else F.col("prefix")
+    return entries.where(_some_left(n, percent)).select("eid", "n", "z", "q", F.posexplode(held).alias("at", "tok"))
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Tokens (entry, t) of the wanted entries (entry, place), from the texts,
-    one row an entry, also where rows of docs are repeated. Wanted lines are
-    broadcast, by document, only while they are few."""
-    lines = stored(wanted.select("entry", "place.doc_id", "place.text_key", "place.line_no").dropDuplicates(["entry"]), "wanted")
-    n = lines.count()
-    by_doc = lines.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "entry")).alias("wanted"))  # at most a document's lines
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    met = texts.join(F.broadcast(by_doc) if n <= broadcast_rows else by_doc, ["doc_id", "text_key"])
-    parts = met.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-    found = parts.select("w.entry", F.get("parts", F.col("w.line_no")).alias("line"))
-    return _with_tokens(found.dropDuplicates(["entry"]), "entry")
-
-
-def _sketch(tokens: DataFrame) -> DataFrame:
-    """entry, s0 to s3: parities of 256 classes of tokens. Two sketches differ
-    in at most as many bits as the sets differ in tokens."""
-
-    each = tokens.select("entry", F.explode_outer("t").alias("x"))  # explode would filter on t, see _with_tokens
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("x", 2), F.lit(64)).cast("int"))
-    own = [F.bit_xor(F.when(F.pmod("x", F.lit(4)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(4)]
-    return each.groupBy("entry").agg(*own)
-
-
-def matches(docs: DataFrame, held: DataFrame, entries: DataFrame, percent: int = 80, block: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Entries (entry) that an earlier entry matches."""
-    shared = stored(_shared(held.select("entry", F.posexplode("prefix").alias("at", "tok"))), "shared")
-    rank = F.row_number().over(Window.partitionBy("tok").orderBy("place", "entry"))
-    lists = stored(shared.join(entries.select("entry", "place", "n"), "entry").withColumn("rank", rank), "lists")
-    sketches = stored(_sketch(_fetch(docs, lists, broadcast_rows)), "sketches")
-    n = sketches.count()
-    rows = lists.drop("place").join(F.broadcast(sketches) if n <= broadcast_rows else sketches, "entry")
-    # Sizes, what the places leave of both entries, and the sketches bound the
-    # overlap; nothing that matches fails them.
+def candidates(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """(late, early) of all pairs of postings that may match. Nothing that
+    matches fails the bounds: of two sets of n and xn words with Jaccard 0.8, at
+    least 4/9 (n + xn) are shared and at most 1/9 (n + xn) are not."""
+    x = large.withColumnsRenamed({"eid": "xid", "n": "xn", "at": "xat", "z": "xz", "q": "xq"})
     both = F.col("n") + F.col("xn")
-    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"xs{k}"))) for k in range(4)), F.lit(0))
+    differ = F.bit_count(F.col("z").bitwiseXOR(F.col("xz")))
+    fine, other = F.col("q").bitwiseXOR(F.col("xq")), F.col("z").bitwiseXOR(F.col("q")).bitwiseXOR(F.col("xz")).bitwiseXOR(F.col("xq"))
     bound = (
-        (100 * F.least("n", "xn") >= percent * F.greatest("n", "xn"))
+        (F.col("n") <= F.col("xn"))
+        & (100 * F.col("n") >= percent * F.col("xn"))
+        & (F.col("eid") != F.col("xid"))
         & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("xn") - F.col("xat")) >= percent * both)
         & ((100 + percent) * differ <= (100 - percent) * both)
+        & ((F.col("n") <= LONG) | ((100 + percent) * (F.bit_count(fine) + F.bit_count(other)) <= (100 - percent) * both))
     )
+    return small.join(x, "tok").where(bound).select(F.greatest("eid", "xid").alias("late"), F.least("eid", "xid").alias("early"))
+
 
-    def verified(late: DataFrame, early: DataFrame) -> DataFrame:
-        early = early.withColumnsRenamed({"entry": "x", "n": "xn", "at": "xat", "rank": "xrank"} | {f"s{k}": f"xs{k}" for k in range(4)})
-        near = late.join(early, "tok").where((F.col("xrank") < F.col("rank")) & bound)
-        pairs = stored(near.select("entry", "x", "n", "xn").distinct(), "pairs")
-        ends = pairs.select("entry").unionByName(pairs.select(F.col("x").alias("entry"))).distinct().join(entries.select("entry", "place"), "entry")
-        tokens = stored(_fetch(docs, ends, broadcast_rows), "tokens")
-        sides = pairs.join(tokens.withColumnRenamed("t", "yt"), "entry").join(tokens.select(F.col("entry").alias("x"), F.col("t").alias("xt")), "x")
-        return sides.where((100 + percent) * F.size(F.array_intersect("yt", "xt")) >= percent * both).select("entry").distinct()
-
-    found = stored(verified(rows, rows.where(F.col("rank") <= block)), "found")
-    long = rows.where(F.col("rank") > block)
-    if not lists.where(F.col("rank") > block).limit(1).count():
+def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Words (eid, w) of the wanted entries (eid, place), from the texts, one row
+    an entry, also where rows of docs are repeated. Wanted lines have a fixed
+    width; they are broadcast, by document, only while they are few."""
+    lines = stored(wanted, "wanted")
+    n = lines.count()
+    by_doc = lines.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "eid")).alias("wanted"))  # at most a document's lines
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    met = texts.join(F.broadcast(by_doc) if n <= broadcast_rows else by_doc, ["doc_id", "text_key"])
+    parts = met.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    return parts.select("w.eid", F.get("parts", F.col("w.line_no")).alias("line")).dropDuplicates(["eid"]).select("eid", _words("line").alias("w"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, entries: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """Of stored pairs (late, early), the late ones whose words match."""
+    ends = pairs.select(F.col("late").alias("eid")).unionByName(pairs.select(F.col("early").alias("eid"))).distinct()
+    words = stored(_fetch(docs, ends.join(entries.select("eid", *PLACE), "eid"), broadcast_rows), "words")
+    sides = pairs.join(words.select(F.col("eid").alias("late"), F.col("w").alias("y")), "late").join(words.select(F.col("eid").alias("early"), F.col("w").alias("x")), "early")
+    shared = F.size(F.array_intersect("x", "y"))
+    return sides.where((100 + percent) * shared >= percent * (F.size("x") + F.size("y"))).select(F.col("late").alias("eid")).distinct()
+
+
+def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+    """Entries (eid) that an earlier entry matches."""
+    small, large = _postings(entries, percent, True), _postings(entries, percent, False)
+    first = stored(candidates(small, large, percent).groupBy("late").agg(F.min("early").alias("early")), "first")
+    found = stored(verified(docs, first, entries, percent, broadcast_rows), "found")
+    open_ = stored(first.join(found.select(F.col("eid").alias("late")), "late", "left_anti").select(F.col("late").alias("eid")), "open")
+    n = open_.count()
+    if not n:
         return found
-    return stored(found.unionByName(verified(long.join(found, "entry", "left_anti"), long)), "found")
+    if n <= broadcast_rows:
+        open_ = F.broadcast(open_)
+    some = entries.join(open_, "eid", "left_semi")
+    near = candidates(small, _postings(some, percent, False), percent).unionByName(candidates(_postings(some, percent, True), large, percent))
+    # Only pairs whose later entry is still open, and not the pair seen before.
+    rest = stored(near.distinct().join(open_.withColumnRenamed("eid", "late"), "late", "left_semi").join(first, ["late", "early"], "left_anti"), "rest")
+    return stored(found.unionByName(verified(docs, rest, entries, percent, broadcast_rows)), "found")
 
 
-def remove_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+def remove_lines(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000, slots: int = SLOTS) -> DataFrame:
     """docs (doc_id, text, ...) with later matches taken out of text, and
     n_lines and n_removed added."""
-    lines = lines_of(docs)
-    held = line_table(lines, percent)
-    entries = stored(entries_of(held), "entries")
-    gone = matches(docs, held, entries, percent).withColumn("gone", F.lit(True))
+    held = line_table(docs, percent, slots)
+    entries = entries_of(held)
+    gone = matches(docs, entries, percent, broadcast_rows).withColumn("gone", F.lit(True))
     # Only entries that lose lines somewhere: all, or all but the first.
-    losing = entries.join(gone, "entry", "left").where("again OR gone").select("entry", F.when(F.col("gone").isNull(), F.col("place")).alias("stay"))
-    lost = held.select("doc_id", "text_key", "line_no", "entry").join(losing, "entry")
-    lost = lost.where(F.col("stay").isNull() | (F.col("stay") != F.struct("doc_id", "text_key", "line_no")))
+    first = F.struct(*PLACE)
+    losing = entries.join(gone, "eid", "left").where("again OR gone").select("e1", "e2", F.when(F.col("gone").isNull(), first).alias("stay"))
+    lost = held.select(*PLACE, "e1", "e2").join(losing, ["e1", "e2"]).where(F.col("stay").isNull() | (F.col("stay") != first))
     by_doc = stored(lost.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lost")), "lost")  # at most a document's lines
     lines_lost = by_doc.agg(F.sum(F.size("lost") + 8)).first()[0] or 0
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_key": F.xxhash64("text")})
@@ -183,16 +221,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: DuckDB for op10_line_dedup.
+#: DuckDB for op10_line_dedup. Words are ordered by exact counts there.
 SQL10 = rf"""
 WITH l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-w AS (SELECT doc_id, i, list_filter(string_split_regex(lower(line), '{SPACE}'), lambda w: w <> '') AS ws FROM l),
-s AS (SELECT doc_id, i, list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')))) AS g FROM w WHERE len(ws) >= 5),
-e AS (SELECT g, min((doc_id, i)) AS place, row_number() OVER () AS e FROM s GROUP BY g),
-t AS (SELECT e, place, len(g) AS n, unnest(g) AS tok FROM e),
-p AS (SELECT y.e AS e, x.e AS x, count(*) AS c, any_value(x.n) AS xn, any_value(y.n) AS n FROM t x JOIN t y ON x.tok = y.tok AND x.place < y.place GROUP BY y.e, x.e),
-gone AS (SELECT DISTINCT e FROM p WHERE 100 * c >= 80 * (n + xn - c)),
+s AS (SELECT doc_id, i, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '{SPACE}'), lambda w: w <> ''))) AS g FROM l),
+e AS (SELECT g, len(g) AS n, min((doc_id, i)) AS place, row_number() OVER () AS e FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT e, place, n, unnest(g) AS tok FROM e),
+t AS (SELECT e, place, tok FROM (SELECT u.*, row_number() OVER (PARTITION BY e ORDER BY c, tok) AS r FROM u JOIN (SELECT tok, count(*) AS c FROM u GROUP BY tok) USING (tok))
+      WHERE r <= n - (80 * n + 99) // 100 + 1),
+p AS (SELECT DISTINCT y.e AS e, x.e AS x FROM t x JOIN t y ON x.tok = y.tok AND x.place < y.place),
+gone AS (SELECT DISTINCT p.e FROM p JOIN e x ON x.e = p.x JOIN e y ON y.e = p.e
+         WHERE 100 * len(list_intersect(x.g, y.g)) >= 80 * (x.n + y.n - len(list_intersect(x.g, y.g)))),
 lost AS (SELECT s.doc_id, s.i FROM s JOIN e ON s.g = e.g LEFT JOIN gone ON gone.e = e.e WHERE gone.e IS NOT NULL OR e.place <> (s.doc_id, s.i))
 SELECT doc_id, count(*) AS n_lines, count(lost.i) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (lost.i IS NULL), '')) AS kept_sha256

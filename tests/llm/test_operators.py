@@ -353,8 +353,7 @@ def plain_line_removal(rows):
     lines = []
     for i, t in keyed:
         for k, line in enumerate(t.split("\n")):
-            w = line.lower().strip(" \t\x0b\x0c\r").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split()
-            g = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+            g = frozenset(line.lower().replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")) - {""}
             if g:
                 lines.append((i, t, k, g))
                 if g not in seen:
@@ -383,10 +382,21 @@ def test_line_dedup(spark):
     out = line_dedup.remove_lines(docs(spark, rows))
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in out.collect()), key=repr)
     assert got == plain_line_removal(rows)
-    held = line_dedup.line_table(line_dedup.lines_of(docs(spark, rows)), 80)
-    entries = line_dedup.entries_of(held)
     d = docs(spark, rows)
-    assert rows_of(line_dedup.matches(d, held, entries), "entry") == rows_of(line_dedup.matches(d, held, entries, block=2, broadcast_rows=0), "entry")
+    entries = line_dedup.entries_of(line_dedup.line_table(d))
+    assert rows_of(line_dedup.matches(d, entries), "eid") == rows_of(line_dedup.matches(d, entries, broadcast_rows=0), "eid")
+
+
+def test_lines_with_one_word_in_all(spark):
+    """One word in every line, a tiny vocabulary, near misses, short repeats."""
+    rng = np.random.RandomState(6)
+    lines = [" ".join(["the", *(f"v{i}" for i in rng.randint(0, 40, rng.randint(1, 16)))]) for _ in range(400)]
+    lines += [" ".join(["the", *(f"v{i}" for i in rng.randint(0, 400, rng.randint(60, 140)))]) for _ in range(30)]
+    lines += [" ".join(w for w in x.split() if rng.rand() > 0.08) + f" e{rng.randint(9)}" for x in lines[200:]] + ["Subscribe now"] * 5 + ["now  SUBSCRIBE", "", " \t "]
+    rows = [(i, "\n".join(lines[k] for k in rng.randint(0, len(lines), 12))) for i in range(70)]
+    for slots in (line_dedup.SLOTS, 16):
+        got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(docs(spark, rows), slots=slots).collect()), key=repr)
+        assert got == plain_line_removal(rows)
 
 
 @pytest.mark.parametrize("limit", [500_000, 0])
@@ -396,5 +406,4 @@ def test_lines_near_those_of_repeated_rows(spark, limit):
     d = docs(spark, rows)
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(d).collect()), key=repr)
     assert got == plain_line_removal(rows)
-    held = line_dedup.line_table(line_dedup.lines_of(d), 80)
-    assert line_dedup.matches(d, held, line_dedup.entries_of(held), broadcast_rows=limit).count() == 3
+    assert line_dedup.matches(d, line_dedup.entries_of(line_dedup.line_table(d)), broadcast_rows=limit).count() == 3
