@@ -123,30 +123,30 @@ def entries_of(held: DataFrame) -> DataFrame:
     return stored(ordered.select(F.monotonically_increasing_id().alias("eid"), "e1", "e2", "n", "prefix", "z", "q", "again", *PLACE), "entries")
 
 
-def _postings(entries: DataFrame, percent: int, smaller: bool) -> DataFrame:
-    """tok, eid, n, at, z, q of the prefixes, or of those as the smaller side."""
-    n = F.col("n")
-    held = F.slice("prefix", F.lit(1), n - _least_of_smaller(n, percent) + 1) if smaller else F.col("prefix")
-    return entries.where(_some_left(n, percent)).select("eid", "n", "z", "q", F.posexplode(held).alias("at", "tok"))
+def _postings(entries: DataFrame, percent: int) -> DataFrame:
+    """tok, eid, n, at, z, q of the prefixes."""
+    return entries.where(_some_left(F.col("n"), percent)).select("eid", "n", "z", "q", F.posexplode("prefix").alias("at", "tok"))
 
 
 def candidates(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """(late, early) of all pairs of postings that may match. Nothing that
-    matches fails the bounds: of two sets of n and xn words with Jaccard 0.8, at
-    least 4/9 (n + xn) are shared and at most 1/9 (n + xn) are not."""
-    x = large.withColumnsRenamed({"eid": "xid", "n": "xn", "at": "xat", "z": "xz", "q": "xq"})
-    both = F.col("n") + F.col("xn")
-    differ = F.bit_count(F.col("z").bitwiseXOR(F.col("xz")))
-    fine, other = F.col("q").bitwiseXOR(F.col("xq")), F.col("z").bitwiseXOR(F.col("q")).bitwiseXOR(F.col("xz")).bitwiseXOR(F.col("xq"))
+    """(late, early) of all pairs of postings, the first the smaller entry's, that
+    may match. Nothing that matches fails the bounds: of two sets of n and xn
+    words with Jaccard 0.8, at least 4/9 (n + xn) are shared and at most
+    1/9 (n + xn) are not. No bound is about one side alone, so that a self-join
+    shuffles its postings once."""
+    y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
+    n, xn, both = y("n"), x("n"), y("n") + x("n")
+    z, q = y("z").bitwiseXOR(x("z")), y("q").bitwiseXOR(x("q"))
     bound = (
-        (F.col("n") <= F.col("xn"))
-        & (100 * F.col("n") >= percent * F.col("xn"))
-        & (F.col("eid") != F.col("xid"))
-        & ((100 + percent) * F.least(F.col("n") - F.col("at"), F.col("xn") - F.col("xat")) >= percent * both)
-        & ((100 + percent) * differ <= (100 - percent) * both)
-        & ((F.col("n") <= LONG) | ((100 + percent) * (F.bit_count(fine) + F.bit_count(other)) <= (100 - percent) * both))
+        (n <= xn)
+        & (100 * n >= percent * xn)
+        & (y("eid") != x("eid"))
+        & (y("at") <= F.least(n - _least_of_smaller(n, percent), xn))
+        & ((100 + percent) * F.least(n - y("at"), xn - x("at")) >= percent * both)
+        & ((100 + percent) * F.bit_count(z) <= (100 - percent) * both)
+        & ((F.least(n, xn) <= LONG) | ((100 + percent) * (F.bit_count(q) + F.bit_count(z.bitwiseXOR(q))) <= (100 - percent) * both))
     )
-    return small.join(x, "tok").where(bound).select(F.greatest("eid", "xid").alias("late"), F.least("eid", "xid").alias("early"))
+    return small.alias("y").join(large.alias("x"), (y("tok") == x("tok")) & bound).select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -173,8 +173,8 @@ def verified(docs: DataFrame, pairs: DataFrame, entries: DataFrame, percent: int
 
 def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """Entries (eid) that an earlier entry matches."""
-    small, large = _postings(entries, percent, True), _postings(entries, percent, False)
-    first = stored(candidates(small, large, percent).groupBy("late").agg(F.min("early").alias("early")), "first")
+    all_ = _postings(entries, percent)
+    first = stored(candidates(all_, all_, percent).groupBy("late").agg(F.min("early").alias("early")), "first")
     found = stored(verified(docs, first, entries, percent, broadcast_rows), "found")
     open_ = stored(first.join(found.select(F.col("eid").alias("late")), "late", "left_anti").select(F.col("late").alias("eid")), "open")
     n = open_.count()
@@ -182,8 +182,10 @@ def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_ro
         return found
     if n <= broadcast_rows:
         open_ = F.broadcast(open_)
-    some = entries.join(open_, "eid", "left_semi")
-    near = candidates(small, _postings(some, percent, False), percent).unionByName(candidates(_postings(some, percent, True), large, percent))
+    some = stored(_postings(entries.join(open_, "eid", "left_semi"), percent), "some")
+    if n <= broadcast_rows // 10:  # ten postings an entry, each of a fixed width
+        some = F.broadcast(some)
+    near = candidates(all_, some, percent).unionByName(candidates(some, all_, percent))
     # Only pairs whose later entry is still open, and not the pair seen before.
     rest = stored(near.distinct().join(open_.withColumnRenamed("eid", "late"), "late", "left_semi").join(first, ["late", "early"], "left_anti"), "rest")
     return stored(found.unionByName(verified(docs, rest, entries, percent, broadcast_rows)), "found")
