@@ -27,7 +27,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import new_path, parts_for
+from ._shared import map_batches, new_path, parts_for
 
 BLOCK_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
@@ -107,7 +107,7 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) -> stored blocks (block, bytes, data). A document is
     never split over blocks; null text is empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(lambda it: _make_blocks(it, limit), "block long, bytes long, data binary")
+    out = map_batches(rows, lambda it: _make_blocks(it, limit), "block long, bytes long, data binary")
     path = new_path(docs.sparkSession, "blocks")
     out.write.option("compression", "uncompressed").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
@@ -231,8 +231,10 @@ def _answer(batches: Iterator[pa.RecordBatch], dtype: str, classes: Callable | N
     sums = np.add.reduceat(weights[order].astype(np.int64), np.flatnonzero(new))
     if classes:
         sums = classes(sums)
+    if sums.max() > np.iinfo(dtype).max:
+        raise ValueError(f"a total of {sums.max()} does not fit {dtype}")
     totals = np.empty(len(order), dtype)
-    totals[order] = np.minimum(sums, np.iinfo(dtype).max)[np.cumsum(new) - 1]
+    totals[order] = sums[np.cumsum(new) - 1]
     for k in range(0, len(rows), 2000):
         some = range(k, min(k + 2000, len(rows)))
         yield pa.RecordBatch.from_arrays(
@@ -274,17 +276,17 @@ def _settle(batches: Iterator[pa.RecordBatch], keys_of: Keys, parts: int, dtype:
         yield from done()
 
 
-def exchange(table: DataFrame, keys_of: Keys, then: Settle, schema: str, dtype: str = "<u4", classes: Callable | None = None, keys_per_part: int = 3_000_000) -> DataFrame:
+def exchange(table: DataFrame, keys_of: Keys, then: Settle, schema: str, dtype: str = "<u8", classes: Callable | None = None, keys_per_part: int = 3_000_000) -> DataFrame:
     """table: stored blocks. keys_of gives a block's sorted distinct keys with
     counts; `then` gets them with their totals over all blocks, or with classes
-    of the totals (clipped to dtype), and gives rows of schema."""
+    of the totals (which must fit dtype), and gives rows of schema."""
     spark = table.sparkSession
     size = table.agg(F.sum("bytes")).first()[0] or 0
     owners = parts_for(spark, size // 5, keys_per_part)
     parts = 8 * owners
-    asked = table.select("block", "data").mapInArrow(lambda it: _ask(it, keys_of, parts), "part int, block long, keys binary, counts binary")
-    answers = asked.repartition(owners, "part").mapInArrow(lambda it: _answer(it, dtype, classes), "block long, part int, data binary")
+    asked = map_batches(table.select("block", "data"), lambda it: _ask(it, keys_of, parts), "part int, block long, keys binary, counts binary")
+    answers = map_batches(asked.repartition(owners, "part"), lambda it: _answer(it, dtype, classes), "block long, part int, data binary")
     both = table.select("block", F.lit(-1).alias("part"), "data").unionByName(answers)
     homes = parts_for(spark, size, 4 * BLOCK_BYTES)
     met = both.repartition(homes, "block").sortWithinPartitions("block", "part")
-    return met.mapInArrow(lambda it: _settle(it, keys_of, parts, dtype, then), schema)
+    return map_batches(met, lambda it: _settle(it, keys_of, parts, dtype, then), schema)

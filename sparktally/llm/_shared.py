@@ -7,9 +7,12 @@ driver and every executor see, so that losing an executor loses nothing.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -18,10 +21,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is
-    unset (tests), a temporary one becomes the session's."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is
+    unset, a local session (tests) gets a temporary one; a cluster has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparktally-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,19 +43,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete this driver's intermediate tables. Results that were not written
-    elsewhere can't be read after that."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Delete this driver's intermediate tables, but for the first `since` and
+    that at `keep`. Results that were not written elsewhere can't be read after
+    that."""
+    for x in _WRITTEN[since:]:
+        if x != keep:
+            path = spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _WRITTEN.remove(x)
+
+
+def written() -> int:
+    """How many tables there are, for forget()."""
+    return len(_WRITTEN)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and
     what is read twice is computed once."""
+    return stored_at(df, new_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -66,3 +83,19 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def parts_for(spark: SparkSession, amount: int, per_part: int) -> int:
     """So many partitions that none gets more than about per_part."""
     return max(partitions(spark), -(-amount // per_part), 1)
+
+
+def tidy(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rows, and when they end the worker gives its free memory back: workers
+    are kept for the next task, which may be another operator's."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """mapInArrow of a generator function, tidied."""
+    return df.mapInArrow(lambda batches: tidy(work(batches)), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._blocks import Docs, blocks, exchange, gram_starts, grams, mix, words
 from ._components import components
-from ._shared import SPACE, partitions, stored
+from ._shared import SPACE, map_batches, partitions, stored
 
 DOC = "block long, pos int, doc_id long, text_key long, n_shingles long, cls long, singles int, shared binary"
 
@@ -249,7 +249,7 @@ def links(sets: DataFrame, percent: int = 80, group_limit: int = 3000) -> DataFr
     classes = stored(
         sets.where("shared IS NOT NULL").groupBy("cls").agg(*(F.first(x).alias(x) for x in ("n_shingles", "singles", "shared"))), "classes"
     )
-    postings = stored(classes.mapInArrow(lambda it: _postings(it, percent), "tok long, cls long"), "postings")
+    postings = stored(map_batches(classes, lambda it: _postings(it, percent), "tok long, cls long"), "postings")
     hubs = postings.groupBy("tok").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     regions = postings.join(hubs, "tok").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     clusters = components(regions)
@@ -266,7 +266,7 @@ def links(sets: DataFrame, percent: int = 80, group_limit: int = 3000) -> DataFr
     )
     met = groups.join(classes.select("cls", "n_shingles", "shared"), "cls")
     near = met.repartition(partitions(spark), "grp").sortWithinPartitions("grp", "cls")
-    return stored(near.mapInArrow(lambda it: _join_groups(it, percent), "a long, b long"), "near")
+    return stored(map_batches(near, lambda it: _join_groups(it, percent), "a long, b long"), "near")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, group_limit: int = 3000) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import stored
+from ._shared import map_batches, stored
 
 CAPACITY = 2048
 END = 0
@@ -169,14 +169,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, slack: int = 16, fan_in: int
     A bin with at most `slack` free places is final in its round. Rounds end
     with one task, or when merging no longer lowers the number of bins."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bins = stored(rows.mapInArrow(lambda it: _first_round(it, capacity, items_per_task, make_encoder), BIN), "pack0")
+    bins = stored(map_batches(rows, lambda it: _first_round(it, capacity, items_per_task, make_encoder), BIN), "pack0")
     done = bins.where(F.col("fill") >= capacity - slack)
     rest, tasks, round_ = bins.where(F.col("fill") < capacity - slack), bins.rdd.getNumPartitions(), 0
     left = rest.count()
     while left > 1:
         before, round_ = left, round_ + 1
         tasks = max(-(-tasks // fan_in), -(-left // items_per_task))
-        merged = rest.coalesce(tasks).mapInArrow(lambda it, r=round_: _next_round(it, capacity, items_per_task, r), BIN)
+        merged = map_batches(rest.coalesce(tasks), lambda it, r=round_: _next_round(it, capacity, items_per_task, r), BIN)
         bins = stored(merged, f"pack{round_}")
         done = done.unionByName(bins.where(F.col("fill") >= capacity - slack))
         rest = bins.where(F.col("fill") < capacity - slack)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._blocks import BLOCK_BYTES, Docs, blocks, by_part, exchange, gram_starts, grams, mix, squeeze, unpack, unsqueeze, words
-from ._shared import SPACE, parts_for, stored
+from ._shared import SPACE, map_batches, parts_for, stored
 
 WINDOW, SEED = 13, 7
 NOBODY = np.iinfo(np.int64).max
@@ -302,7 +302,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, seed: int = SEED, word
     schema = "shard int, block long, a binary, b binary, c binary, size long"
     segments = stored(exchange(table, lambda d: _keys(d, length, seed), lambda b, d, k, t: _segments(b, d, k, t, length, seed, shards), schema, "<u1", _one_or_more), "segments")
     asked = segments.where("shard >= 0").repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    answers = asked.mapInArrow(lambda it: _search_batches(it, length), "block long, a binary, b binary, shard int")
+    answers = map_batches(asked, lambda it: _search_batches(it, length), "block long, a binary, b binary, shard int")
     nothing = F.lit(None).cast("binary")
     met = (
         table.select("block", F.lit(-2).alias("shard"), F.col("data").alias("a"), nothing.alias("b"), nothing.alias("c"))
@@ -310,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, seed: int = SEED, word
         .unionByName(answers.select("block", "shard", "a", "b", nothing.alias("c")))
     )
     homes = parts_for(spark, size, 4 * BLOCK_BYTES)
-    return met.repartition(homes, "block").sortWithinPartitions("block", "shard").mapInArrow(lambda it: _remove(it, length, with_text), OUT)
+    return map_batches(met.repartition(homes, "block").sortWithinPartitions("block", "shard"), lambda it: _remove(it, length, with_text), OUT)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ._shared import map_batches
+
 ROW = "doc_id long, n_pretokens long, n_tokens long, score double"
 MATRIX = 40
 CHUNK = 2 << 20
@@ -226,7 +228,7 @@ def token_counts(docs: DataFrame, ranks_of=default_ranks) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_pretokens, n_tokens, score. ranks_of
     loads the vocabulary on an executor (bytes of a piece -> rank)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _count_batches(it, ranks_of), ROW)
+    return map_batches(rows, lambda it: _count_batches(it, ranks_of), ROW)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

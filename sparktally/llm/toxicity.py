@@ -20,8 +20,10 @@ at most doc_bytes each, in the order of a hash of their ids. Scoring covers all
 words of all texts; long words are scored in overlapping pieces.
 
 Defined results: null and empty texts have the score of no word at all; without
-labels of both classes every score is the share of toxic labels (0 without
-any); several labels of an id count as the largest; labels without document and
+labels of both classes, or without any word to learn, every score is the share
+of toxic labels, but under 0.5 (0 without any), so that nothing is rejected; a
+null id is in no sample, and held_out is then false; very long texts are scored
+whole; several labels of an id count as the largest; labels without document and
 null labels are ignored; repeated rows repeat results; an empty table gives no
 rows; other columns are ignored.
 """
@@ -40,11 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ._shared import map_batches
+
 DECAY = 0.6
 #: Places of a subsequence's characters, from the first.
 PLACES = [(0, *c) for c in combinations(range(1, 5), 2)] + [(0, *c) for c in combinations(range(1, 7), 3)]
 PIECE, OVERLAP = 32, 12
-CACHE = 400_000
+#: Bytes of the words whose margins a task remembers.
+CACHE = 16 << 20
+#: Without anything to learn no document is called toxic.
+UNSURE = 0.49
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SENTENCE = re.compile(r"[.!?]\s|\n")
 
@@ -256,7 +263,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 96, least_docs: int = 4,
         seen.update(kin)
     y = np.array([t for _, t in docs], bool)
     if not y.any() or y.all():
-        return Model(None, 0, 0, float(y.mean()) if len(y) else 0.0)
+        return Model(None, 0, 0, min(float(y.mean()), UNSURE) if len(y) else 0.0)
     # Texts are cut anew whenever they are needed: only counts and the distinct
     # clean words stay in memory.
     df = [Counter(), Counter()]
@@ -268,7 +275,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 96, least_docs: int = 4,
     # A positive word is, documents counted alike, at least 20 times as common in toxic ones.
     positive = sorted((w for w, g in gain.items() if g > np.log(20)), key=lambda w: (-df[1][w], w))
     if not positive:
-        return Model(None, 0, 0, float(y.mean()))
+        return Model(None, 0, 0, min(float(y.mean()), UNSURE))
     bad = set(positive)
     del df
     kept: set[str] = set()
@@ -311,7 +318,7 @@ def train(rows: list[tuple[str, int]], landmarks: int = 96, least_docs: int = 4,
         worst = [clean[i] for i in np.argsort(-margin, kind="stable")[:2000] if clean[i] not in held]
         held.update(worst)
         negative = sorted(held)
-    scorer = Scorer(model, 100_000)
+    scorer = Scorer(model, 4 << 20)
     top = np.concatenate([scorer.margins([x for x, _ in docs[k : k + 100]]) for k in range(0, len(docs), 100)])
     model.slope, model.shift = _logistic(top, y)
     return model
@@ -326,28 +333,35 @@ def _columns(features: list[dict[int, float]]) -> dict[int, np.ndarray]:
 
 
 class Scorer:
+    """Margins of texts. Margins of short words are remembered, up to `cache`
+    bytes of words (each takes about 100 bytes more)."""
+
     def __init__(self, model: Model, cache: int = CACHE):
-        self.model, self.cache, self.known = model, cache, {}
+        self.model, self.cache, self.known, self.size = model, cache, {}, 0
 
     def margins(self, texts: list[str]) -> np.ndarray:
         if self.model.table is None:
             return np.zeros(len(texts))
         found = [units(t) for t in texts]
         new = set().union(*found).difference(self.known)
-        if len(self.known) + len(new) > self.cache:
-            self.known, new = {}, set().union(*found)
+        if self.size > self.cache:
+            self.known, self.size, new = {}, 0, set().union(*found)
         parts = [(w, p) for w in new for p in pieces(w)]
         for (w, _), m in zip(parts, self.model.margins([p for _, p in parts]).tolist() if parts else []):
             if m > self.known.get(w, -np.inf):
                 self.known[w] = m
-        return np.array([max(map(self.known.__getitem__, u), default=self.model.bias) for u in found])
+        out = np.array([max(map(self.known.__getitem__, u), default=self.model.bias) for u in found])
+        for w in [w for w in new if len(w) > PIECE]:
+            del self.known[w]
+            new.discard(w)
+        self.size += sum(map(len, new)) + 100 * len(new)
+        return out
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterator[pa.RecordBatch], model: Model, keep: list[int]) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for b in batches:
-        i = b.schema.get_field_index("text")
-        column, scores, texts, size = b.column(i), [], [], 0
+        column, scores, texts, size = b.column(b.schema.get_field_index("text")), [], [], 0
         for x in column:
             texts.append(x.as_py() or "")
             size += len(texts[-1])
@@ -355,11 +369,12 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[
                 scores.append(scorer.margins(texts))
                 texts, size = [], 0
         scores.append(scorer.margins(texts))
-        yield b.append_column("score", pa.array(model.probability(np.concatenate(scores))))
+        own = [b.column(i) for i in keep]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(model.probability(np.concatenate(scores)))], [*(b.schema.names[i] for i in keep), "score"])
 
 
 def held_out(column: str = "doc_id"):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1500, doc_bytes: int = 32_768) -> Model:
@@ -375,16 +390,18 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_class: int = 1500, doc_byte
     return train([(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `score` added (an existing one is replaced)."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs with a column `score` added (an existing one is replaced); of the
+    other columns all, or those to keep."""
     rows = docs.drop("score")
-    schema = StructType([*rows.schema, StructField("score", DoubleType())])
-    return rows.mapInArrow(lambda it: _score_batches(it, model), schema)
+    places = [rows.columns.index(c) for c in keep or rows.columns]
+    schema = StructType([*(rows.schema[i] for i in places), StructField("score", DoubleType())])
+    return map_batches(rows, lambda it: _score_batches(it, model, places), schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by a model of the rows not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = score(docs.select("doc_id", "text"), model)
+    out = score(docs.select("doc_id", "text"), model, keep=("doc_id",))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

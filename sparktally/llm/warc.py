@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import new_path
+from ._shared import map_batches, new_path
 
 EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 EOL = "\r\n"
@@ -122,7 +122,7 @@ def choose_responses(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
     """Write deduplicated archives below path. records_per_file bounds a file."""
     chosen = choose_responses(pages, min_revisit)
-    rows = chosen.mapInArrow(lambda it: _record_batches(it, date), "value binary")
+    rows = map_batches(chosen, lambda it: _record_batches(it, date), "value binary")
     (
         rows.select(F.col("value").cast("string"))
         .write.option("lineSep", EMPTY_MEMBER.decode("latin-1"))
@@ -190,7 +190,7 @@ def _archive_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives below path, digests recomputed."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_archive_batches, RECORD)
+    return map_batches(files, _archive_batches, RECORD)
 
 
 def resolve(records: DataFrame) -> DataFrame:

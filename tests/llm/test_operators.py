@@ -38,6 +38,19 @@ def test_squeeze_round_trips():
     assert (_blocks.unsqueeze_sorted(_blocks.squeeze_sorted(np.sort(x))) == np.sort(x)).all()
 
 
+def test_totals_beyond_32_bits():
+    import pyarrow as pa
+
+    keys = np.array([5, 9], np.uint64)
+    row = lambda block, n: [block, _blocks.squeeze_sorted(keys), _blocks.squeeze(np.array(n, "<u4"))]
+    blocks = [row(1, [4_000_000_000, 1]), row(2, [4_000_000_000, 2])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0, 0], pa.int32()), pa.array([b[0] for b in blocks]), pa.array([b[1] for b in blocks]), pa.array([b[2] for b in blocks])], ["part", "block", "keys", "counts"]
+    )
+    (out,) = _blocks._answer(iter([batch]), "<u8", None)
+    assert [_blocks.unsqueeze(x.as_py(), "<u8").tolist() for x in out.column("data")] == [[8_000_000_000, 3]] * 2
+
+
 def test_many_small_blocks_give_the_same(spark, small):
     d = spark.read.parquet(f"{small}/documents.parquet")
     keys = lm_score._keys
@@ -208,7 +221,9 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(d, toxicity.fit(d, none)).collect()} == {0.0}
     one = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
-    assert {r.score for r in toxicity.score(d, toxicity.fit(d, one)).collect()} <= {0.0, 1.0}
+    assert {r.score for r in toxicity.score(d, toxicity.fit(d, one)).collect()} == {toxicity.UNSURE}
+    noise = [(words(40, i), i % 2) for i in range(60)]
+    assert toxicity.train(noise).probability(np.zeros(1))[0] < 0.5
 
 
 def test_kernel_table_is_the_kernel():

@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline as cp
+from sparktally.llm import jaccard_join
 
 from .helpers import awkward, docs, with_clashes, words
 from .test_operators import near_copies, plain_components, plain_line_removal
@@ -52,6 +53,20 @@ def test_toxic_documents_go(spark, folder):
     assert sum(i in kept for i in clean) >= 0.99 * len(clean)
 
 
+def test_nothing_to_learn_keeps_all(spark, folder, tmp_path):
+    d = docs(spark, awkward())
+    for name, toxic in (("none", []), ("all", [(i, 1, 1) for i in range(1, 14)]), ("one", [(1, 1, 1), (2, 1, 0)])):
+        spark.createDataFrame(toxic, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert ids(STAGES["toxicity"](spark, d, str(tmp_path / name))) == ids(d)
+
+
+def test_shreds_of_copies_go(spark, folder):
+    lines = [words(30, s, 10_000) for s in range(90, 96)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:5], "a few other words"])), (3, "\n".join([*lines[:2], words(60, 97, 10_000)]))]
+    got = {r.doc_id: r.text for r in STAGES["line_dedup"](spark, docs(spark, rows), str(folder)).collect()}
+    assert got == {1: rows[0][1], 3: words(60, 97, 10_000)}
+
+
 def test_lines(spark, folder):
     lines = [" ".join(t.split()[:60]) for t in near_copies(40, 81, 3)]
     rows = [(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(10)] + [(50, words(20, 82)), (51, words(20, 82)), (52, None), (53, ""), (54, "short")]
@@ -86,3 +101,6 @@ def test_all_stages(spark, folder):
         d = stage(spark, d, str(folder))
     assert {r.doc_id for r in rows} == set(ids(d))
     assert max(r.offset + r.length for r in rows) <= 2048
+    later = {r.doc_id for r in jaccard_join.near_duplicates(spark.read.parquet(str(folder / "documents.parquet"))).where("doc_id <> component_id").collect()}
+    kept = {r.doc_id for r in rows}
+    assert len(later) > 50 and len(later & kept) <= 0.05 * len(later)
