@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparktally.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from sparktally.llm._shared import stored
+from sparktally.llm._shared import forget, new_path, stored, stored_at, written
 
 #: Decisions up to so many rows are broadcast, more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
+#: A document that the line stage takes more than this share of is dropped.
+MOST_LOST = 0.8
+
 
 def _boxed(docs: DataFrame) -> DataFrame:
     """doc_id, text and all other columns as one, so that no name clashes."""
@@ -40,16 +43,28 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under 0.5."""
+    """Documents that the classifier scores under 0.5.
+
+    Only ids and texts go through the classifier; other columns stay where they
+    are. Null and empty texts stay; rows that are equal in id and text have one
+    score; null ids are scored like others; texts of any length are scored
+    whole; where there is nothing to learn, all documents stay; an empty table
+    gives no rows."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _unboxed(toxicity.score(_boxed(docs), model).where("score < 0.5"), docs.columns)
+    scored = toxicity.score(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), model, keep=("doc_id", "text_key"))
+    return _without(docs, scored.where("score >= 0.5"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later near-duplicate lines; one that loses all it had
-    goes. n_chars follows the text."""
-    out = line_dedup.remove_lines(_boxed(docs))
-    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Documents without later near-duplicate lines. One that loses all its words,
+    or more than MOST_LOST of its characters, goes: it was a copy, and what is
+    left are shreds that no longer resemble the original. n_chars follows the
+    text. Null and blank texts stay as they are; rows that are equal in id and
+    text stay both; the earlier of ties by id keeps its lines, null ids come
+    last; an empty table gives no rows."""
+    out = line_dedup.remove_lines(_boxed(docs.withColumn("chars__", F.length("text"))))
+    left = F.length("text") >= (1 - MOST_LOST) * F.col("rest.chars__")
+    out = out.where((F.col("n_removed") == 0) | (F.col("text").rlike(r"[^\x20\x09-\x0D]") & left))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         shorter = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("rest.n_chars"))
@@ -73,12 +88,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Null, empty and wordless texts
+    contain none and stay; rows that are equal in id and text go or stay
+    together; null ids are looked up like others; long texts are searched whole;
+    without items all documents stay; an empty table gives no rows."""
     return _without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, with their places in sequences of 2048 ids."""
+    """Pieces of the documents, with their places in sequences of 2048 ids. Every
+    row is a document, also a repeated one; a null text is an empty one, of its
+    closing id; long ones are cut, not shortened; an empty table gives no rows."""
     return packing.placements(packing.pack(docs))
 
 
@@ -96,6 +116,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = written()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        docs = stored_at(stage(spark, docs, sf_dir), path)
+        forget(spark, before, keep=path)  # the stage's own tables and its input
     return STAGES[-1][1](spark, docs, sf_dir)
