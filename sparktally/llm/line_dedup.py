@@ -11,9 +11,10 @@ n - ceil(0.8 n) + 1 words among the first n - ceil(8/9 n) + 1 of the smaller
 Postings of these prefixes are joined by word, a join that may split the list of
 a frequent word over tasks. Inside the join, sizes (length filter), the word's
 places in both entries (positional filter) and parity sketches bound the
-overlap; of an entry's candidates only the earliest becomes a row. Its words and
-the entry's are fetched, and Jaccard decides. Entries that their earliest
-candidate does not match then meet all their candidates. Later matches are
+overlap. Of an entry's candidates only one is looked at first: the first entry
+with one of its rarest words, else the earliest of the join. Its words and the
+entry's are fetched, and Jaccard decides. Entries that this candidate does not
+match then meet all their candidates. Later matches are
 removed: a line goes if an earlier line (by document id, then line number) of
 the input is at least 0.8 similar to it.
 
@@ -123,30 +124,51 @@ def entries_of(held: DataFrame) -> DataFrame:
     return stored(ordered.select(F.monotonically_increasing_id().alias("eid"), "e1", "e2", "n", "prefix", "z", "q", "again", *PLACE), "entries")
 
 
-def _postings(entries: DataFrame, percent: int) -> DataFrame:
-    """tok, eid, n, at, z, q of the prefixes."""
-    return entries.where(_some_left(F.col("n"), percent)).select("eid", "n", "z", "q", F.posexplode("prefix").alias("at", "tok"))
+def _postings(entries: DataFrame, percent: int, first: int | None = None) -> DataFrame:
+    """tok, eid, n, at, z, q, late of the prefixes, or of their `first` words."""
+    held = F.col("prefix") if first is None else F.slice("prefix", 1, first)
+    return entries.where(_some_left(F.col("n"), percent)).select("eid", "n", "z", "q", "late", F.posexplode(held).alias("at", "tok"))
+
+
+def _bound(y, x, percent: int) -> Column:
+    """Whether entries y and x may match. Nothing that matches fails: of two sets
+    of n and xn words with Jaccard 0.8, at least 4/9 (n + xn) are shared and at
+    most 1/9 (n + xn) are not, and 80 % of the larger are in the smaller."""
+    n, xn, both = y("n"), x("n"), y("n") + x("n")
+    z, q = y("z").bitwiseXOR(x("z")), y("q").bitwiseXOR(x("q"))
+    return (
+        (100 * F.least(n, xn) >= percent * F.greatest(n, xn))
+        & ((100 + percent) * F.bit_count(z) <= (100 - percent) * both)
+        & ((F.least(n, xn) <= LONG) | ((100 + percent) * (F.bit_count(q) + F.bit_count(z.bitwiseXOR(q))) <= (100 - percent) * both))
+    )
 
 
 def candidates(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """(late, early) of all pairs of postings, the first the smaller entry's, that
-    may match. Nothing that matches fails the bounds: of two sets of n and xn
-    words with Jaccard 0.8, at least 4/9 (n + xn) are shared and at most
-    1/9 (n + xn) are not. No bound is about one side alone, so that a self-join
-    shuffles its postings once."""
+    may match and whose later entry looks for a match. No condition is about
+    one side alone, so that a self-join shuffles its postings once."""
     y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
-    n, xn, both = y("n"), x("n"), y("n") + x("n")
-    z, q = y("z").bitwiseXOR(x("z")), y("q").bitwiseXOR(x("q"))
-    bound = (
-        (n <= xn)
-        & (100 * n >= percent * xn)
+    n, xn = y("n"), x("n")
+    met = (
+        F.when(y("eid") > x("eid"), y("late")).otherwise(x("late"))
+        & (n <= xn)
         & (y("eid") != x("eid"))
         & (y("at") <= F.least(n - _least_of_smaller(n, percent), xn))
-        & ((100 + percent) * F.least(n - y("at"), xn - x("at")) >= percent * both)
-        & ((100 + percent) * F.bit_count(z) <= (100 - percent) * both)
-        & ((F.least(n, xn) <= LONG) | ((100 + percent) * (F.bit_count(q) + F.bit_count(z.bitwiseXOR(q))) <= (100 - percent) * both))
+        & ((100 + percent) * F.least(n - y("at"), xn - x("at")) >= percent * (n + xn))
+        & _bound(y, x, percent)
     )
-    return small.alias("y").join(large.alias("x"), (y("tok") == x("tok")) & bound).select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"))
+    return small.alias("y").join(large.alias("x"), (y("tok") == x("tok")) & met).select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"))
+
+
+def heads(entries: DataFrame, percent: int, first: int = 3) -> DataFrame:
+    """Stored (late, early): entries and the earliest entry that has one of their
+    three rarest words so early in its order, if they may match. A large group
+    of copies finds most of its matches here, one row a member."""
+    own = _postings(entries.withColumn("late", F.lit(True)), percent, first)
+    hubs = own.groupBy("tok").agg(F.min(F.struct("eid", "n", "z", "q")).alias("hub"))
+    y, x = (lambda c: F.col(c)), (lambda c: F.col("hub")[c])
+    near = own.join(hubs, "tok").where((F.col("eid") > x("eid")) & _bound(y, x, percent))
+    return stored(near.groupBy(F.col("eid").alias("late")).agg(F.min("hub.eid").alias("early")), "heads")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -173,8 +195,13 @@ def verified(docs: DataFrame, pairs: DataFrame, entries: DataFrame, percent: int
 
 def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """Entries (eid) that an earlier entry matches."""
-    all_ = _postings(entries, percent)
-    first = stored(candidates(all_, all_, percent).groupBy("late").agg(F.min("early").alias("early")), "first")
+    some = heads(entries, percent)
+    held = some.select(F.col("late").alias("eid"), F.lit(False).alias("late"))
+    if some.count() <= broadcast_rows:
+        held = F.broadcast(held)
+    all_ = _postings(entries.join(held, "eid", "left").withColumn("late", F.coalesce("late", F.lit(True))), percent)
+    others = candidates(all_, all_, percent).groupBy("late").agg(F.min("early").alias("early"))
+    first = stored(some.unionByName(others), "first")
     found = stored(verified(docs, first, entries, percent, broadcast_rows), "found")
     open_ = stored(first.join(found.select(F.col("eid").alias("late")), "late", "left_anti").select(F.col("late").alias("eid")), "open")
     n = open_.count()
@@ -182,12 +209,12 @@ def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_ro
         return found
     if n <= broadcast_rows:
         open_ = F.broadcast(open_)
-    some = stored(_postings(entries.join(open_, "eid", "left_semi"), percent), "some")
+    some = stored(_postings(entries.join(open_, "eid", "left_semi").withColumn("late", F.lit(True)), percent), "some")
     if n <= broadcast_rows // 10:  # ten postings an entry, each of a fixed width
         some = F.broadcast(some)
-    near = candidates(all_, some, percent).unionByName(candidates(some, all_, percent))
-    # Only pairs whose later entry is still open, and not the pair seen before.
-    rest = stored(near.distinct().join(open_.withColumnRenamed("eid", "late"), "late", "left_semi").join(first, ["late", "early"], "left_anti"), "rest")
+    all_ = _postings(entries.withColumn("late", F.lit(False)), percent)
+    near = candidates(all_, some, percent).unionByName(candidates(some, all_, percent)).unionByName(candidates(some, some, percent))
+    rest = stored(near.distinct().join(first, ["late", "early"], "left_anti"), "rest")
     return stored(found.unionByName(verified(docs, rest, entries, percent, broadcast_rows)), "found")
 
 
