@@ -300,17 +300,33 @@ def test_neighbours_of_awkward_vectors(spark):
         assert all(abs(s + w) < 1e-9 for (_, s), (w, _) in zip(got[q], want))
 
 
-def test_recall_of_relaxed_search():
+def spread(kind, n=6000, dim=32):
     rng = np.random.RandomState(2)
-    centres = rng.randn(40, 32)
-    x = centres[rng.randint(0, 40, 6000)] + 0.4 * rng.randn(6000, 32)
-    tree = vp_search.Tree(np.arange(6000), x, float((x * x).sum(1).max()), leaf=64)
-    q = x[::100]
-    true = np.argsort(-(q @ x.T - 1e9 * (np.arange(6000)[None] == np.arange(0, 6000, 100)[:, None])), axis=1)[:, :20]
-    for factor, least in ((1.0, 1.0), (2.0, 0.9)):
-        at, ids, _ = tree.search(np.arange(0, 6000, 100), q, 20, factor)
-        hits = sum(len(set(ids[at == i]) & set(true[i])) for i in range(len(q)))
-        assert hits >= least * 20 * len(q)
+    if kind == "clusters":
+        return rng.randn(40, dim)[rng.randint(0, 40, n)] + 0.4 * rng.randn(n, dim)
+    x = rng.randn(n, dim)
+    if kind == "spread norms":
+        return x * np.exp(2 * rng.randn(n))[:, None]
+    x[7] *= {"outlier": 1e4, "huge": 1e160, "plain": 1.0}[kind]
+    return x
+
+
+@pytest.mark.parametrize("kind", ["plain", "clusters", "spread norms", "outlier", "huge"])
+def test_recall_of_relaxed_search(spark, kind):
+    x = spread(kind)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = np.arange(0, len(x), 100)
+    products = x[q] @ x.T
+    products[np.arange(len(q)), q] = -np.inf
+    true = {int(i): set(np.lexsort((np.arange(len(x)), -p))[:20].tolist()) for i, p in zip(q, products)}
+    for factor, least in ((1.0, 1.0), (2.0, 0.95)):
+        got = vp_search.nearest(v, v.where("vec_id % 100 = 0"), factor=factor, shard_rows=2500).collect()
+        assert sum(r.vec_id in true[r.query_id] for r in got) >= least * 20 * len(q)
+
+
+def test_no_vectors(spark):
+    v = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vp_search.nearest(v, v).count() == 0
 
 
 # --- 9
