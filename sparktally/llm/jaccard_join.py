@@ -242,7 +242,7 @@ def sets_of(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return stored(out, "sets")
 
 
-def links(sets: DataFrame, percent: int = 80, group_limit: int = 3000) -> DataFrame:
+def links(sets: DataFrame, percent: int = 80, group_limit: int = 800) -> DataFrame:
     """Links between classes, as the edges of a spanning forest of each group:
     (a, b), for the components of all links."""
     spark = sets.sparkSession
@@ -269,7 +269,7 @@ def links(sets: DataFrame, percent: int = 80, group_limit: int = 3000) -> DataFr
     return stored(map_batches(near, lambda it: _join_groups(it, percent), "a long, b long"), "near")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, group_limit: int = 3000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, group_limit: int = 800) -> DataFrame:
     """docs (doc_id, text) -> block, pos (which row), doc_id, text_key (Spark's
     xxhash64 of the text; of an empty one for null), n_shingles, label
     (null without any partner), component_id (smallest doc_id reachable)."""

@@ -1,10 +1,13 @@
 """Operator 5: WARC archives with revisit records resolved by payload digest.
 
-write_archives   headers (no payloads) are grouped by payload digest, each
-                 group's response is chosen, and rows are joined to that choice
-                 by digest; response records carry the payload, revisit records
-                 only a reference. Every record gets fresh headers and its own
-                 gzip member.
+write_archives   headers (no payloads) are grouped by payload digest and each
+                 group's response is chosen. The choices, one row per digest
+                 that occurs again, are broadcast to the pages while they are
+                 within broadcast_bytes, so that no payload is shuffled; beyond
+                 that, pages are joined to them by digest.
+                 Response records carry the payload, revisit records only a
+                 reference. Every record gets fresh headers and its own gzip
+                 member.
 read_archives    parses the archives by Content-Length, record by record.
 resolve          joins revisit records to the responses they refer to.
 
@@ -16,7 +19,9 @@ which every gzip reader skips.
 Defined results: a null payload is empty; payloads under min_revisit bytes are
 never revisits; of equal payloads the row with the largest id is the response,
 and rows that repeat that very id are responses too; a null id is smaller than
-any; an empty table gives empty archives; other columns are ignored.
+any; rows that are equal in id, url and payload have one record id; a payload is
+written whole, however long, and files hold so many records that they have about
+file_bytes; an empty table gives empty archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import map_batches, new_path
+from ._shared import map_batches, new_path, stored
 
 EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 EOL = "\r\n"
@@ -53,7 +58,7 @@ def _one_line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def record(page_id, url, payload: bytes | None, hex_digest: str, refers_to, date: str) -> bytes:
+def record(page_id, url, payload: bytes | None, hex_digest: str, refers_to, refers_url, date: str) -> bytes:
     """One record as a gzip member; payload None makes it a revisit."""
     labelled = "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
     uri = _one_line(url)
@@ -70,6 +75,9 @@ def record(page_id, url, payload: bytes | None, hex_digest: str, refers_to, date
     if payload is None:
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", _uuid(refers_to, _one_line(refers_url), hex_digest)),
+            ("WARC-Refers-To-Target-URI", _one_line(refers_url) or "about:blank"),
+            ("WARC-Refers-To-Date", date),
             ("X-Refers-To-Page-Id", str(refers_to)),
             ("Content-Type", "application/http; msgtype=response"),
         ]
@@ -83,12 +91,12 @@ def record(page_id, url, payload: bytes | None, hex_digest: str, refers_to, date
 
 def _record_batches(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, urls, digests, refs = (b.column(n).to_pylist() for n in ("page_id", "url", "digest", "refers_to"))
+        ids, urls, digests, refs, refs_urls = (b.column(n).to_pylist() for n in ("page_id", "url", "digest", "refers_to", "refers_url"))
         payloads = b.column("payload")
         out, size = [], 0
-        for i, (page_id, url, digest, ref) in enumerate(zip(ids, urls, digests, refs)):
+        for i, (page_id, url, digest, ref, ref_url) in enumerate(zip(ids, urls, digests, refs, refs_urls)):
             payload = None if ref is not None else (payloads[i].as_py() or b"")
-            out.append(record(page_id, url, payload, digest, ref, date))
+            out.append(record(page_id, url, payload, digest, ref, ref_url, date))
             size += len(out[-1])
             if size > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
@@ -97,17 +105,20 @@ def _record_batches(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def choose_responses(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, url, payload, digest, refers_to
-    (null for responses; the payload of a revisit is null)."""
+def choose_responses(pages: DataFrame, min_revisit: int = 1000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """pages (page_id, url, html) -> page_id, url, payload, digest, refers_to,
+    refers_url (null for responses; the payload of a revisit is null)."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    heads = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest")
-    # One row per digest that occurs more than once; small next to the payloads.
-    firsts = heads.agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("response_id")).where("n > 1").drop("n")
+    heads = rows.where(F.octet_length("payload") >= min_revisit).select("digest", F.struct("page_id", "url").alias("head"))
+    firsts = heads.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("head").alias("head")).where("n > 1")
+    firsts = stored(firsts.select("digest", F.col("head.page_id").alias("response_id"), F.col("head.url").alias("response_url")), "responses")
+    size = firsts.agg(F.sum(F.coalesce(F.octet_length("response_url"), F.lit(0)) + 60)).first()[0] or 0
+    if size <= broadcast_bytes:
+        firsts = F.broadcast(firsts)
     joined = rows.join(firsts, "digest", "left")
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return joined.select(
@@ -116,18 +127,22 @@ def choose_responses(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
         F.when(~revisit, F.col("payload")).alias("payload"),
         "digest",
         F.when(revisit, F.col("response_id")).alias("refers_to"),
+        F.when(revisit, F.col("response_url")).alias("refers_url"),
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Write deduplicated archives below path. records_per_file bounds a file."""
-    chosen = choose_responses(pages, min_revisit)
+def write_archives(
+    pages: DataFrame, path: str, min_revisit: int = 1000, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 128 << 20, broadcast_bytes: int = 32 << 20
+) -> None:
+    """Write deduplicated archives below path."""
+    chosen = choose_responses(pages, min_revisit, broadcast_bytes)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
     rows = map_batches(chosen, lambda it: _record_batches(it, date), "value binary")
     (
         rows.select(F.col("value").cast("string"))
         .write.option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .option("encoding", "ISO-8859-1")
-        .option("maxRecordsPerFile", records_per_file)
+        .option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 1000))))
         .text(path)
     )
 
@@ -167,7 +182,7 @@ def _parse(content: bytes) -> Iterator[tuple]:
             ok = hashlib.sha1(memoryview(body)[cut:]).hexdigest() == digest
             size = length - cut
         else:
-            ok, size = True, None
+            ok, size = None, None  # known when it is resolved
         uri = fields["WARC-Target-URI"]
         yield fields["WARC-Record-ID"], kind, uri, page and int(page), ref and int(ref), digest, size, ok
 
@@ -194,21 +209,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Revisits get the length of the response payload they refer to.
+    """Revisits get the length of the response payload they refer to, and whether
+    that is there and has the digest.
 
     One response per digest and id is on the other side of the join, and the
     revisits of a very common payload can be split by the skew join."""
     long_ones = (
         records.where("record_type = 'response'")
         .groupBy(F.col("digest"), F.col("page_id").alias("refers_to_id"))
-        .agg(F.max("content_bytes").alias("response_bytes"))
+        .agg(F.max("content_bytes").alias("response_bytes"), F.min("payload_ok").alias("response_ok"))
     )
     revisits = records.where("record_type = 'revisit'").join(long_ones, ["digest", "refers_to_id"], "left")
-    kept = ["record_id", "page_id", "target_uri", "record_type", "digest", "payload_ok"]
+    kept = ["record_id", "page_id", "target_uri", "record_type", "digest"]
     return (
         records.where("record_type = 'response'")
-        .select(*kept, F.col("content_bytes").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to_id"))
-        .unionByName(revisits.select(*kept, F.col("response_bytes").alias("payload_bytes"), "refers_to_id"))
+        .select(*kept, "payload_ok", F.col("content_bytes").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to_id"))
+        .unionByName(revisits.select(*kept, F.coalesce("response_ok", F.lit(False)).alias("payload_ok"), F.col("response_bytes").alias("payload_bytes"), "refers_to_id"))
     )
 
 

@@ -175,11 +175,12 @@ def test_no_benchmark(spark):
 # --- 5
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_archives(spark, tmp_path, limit):
     big, small = "b" * 1500, "s" * 10
     rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (4, "u 4\r\nx", small), (5, "u5", small), (6, "u6", None), (3, "u3", big), (None, "u7", big), (8, "u8", "WARC/1.1\r\n\r\né" * 200)]
     pages = with_clashes(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    warc.write_archives(pages, str(tmp_path / "w"))
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=20_000, broadcast_bytes=limit)
     out = warc.resolve(warc.read_archives(spark, str(tmp_path / "w"))).collect()
     assert all(r.payload_ok for r in out)
     got = Counter((r.page_id, r.record_type, r.payload_bytes, r.refers_to_id) for r in out)
@@ -189,6 +190,9 @@ def test_archives(spark, tmp_path):
     raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("part-*"))
     assert raw.count(b"WARC-Record-ID") == len(rows)
     assert raw.count(b"b" * 1500) == 2  # the two rows of the largest id
+    assert raw.count(b"WARC-Refers-To-Target-URI: u3") == 3  # the largest url of page 3
+    named = {r.record_id for r in out if r.record_type == "response"}
+    assert all(x.split(b"\r\n")[0].decode() in named for x in raw.split(b"WARC-Refers-To: ")[1:])
     digests = {r.page_id: r.digest for r in out}
     assert digests[5] == hashlib.sha1(small.encode()).hexdigest()
 
