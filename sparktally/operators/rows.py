@@ -150,6 +150,21 @@ def trade_rollup(rows: DataFrame) -> DataFrame:
     return t.rollup("trade").agg(F.count(F.lit(1)).alias("n_items"), F.sum("quantity").alias("quantity"), F.grouping("trade").cast("int").alias("is_total"))
 
 
+def sheet_serials(rows: DataFrame) -> DataFrame:
+    """Every row's trade and its serial on one sheet of all rows, by trade, then by
+    lower-case description. Rows are numbered inside their trade and description
+    and moved by the counts of those before, so no task has the whole table."""
+    t = rows.withColumns({"trade": trade(F.col("material")), "m_": F.lower("material")})
+    groups = t.groupBy("trade", "m_").agg(F.count(F.lit(1)).alias("n_"))
+    in_trade = Window.partitionBy("trade").orderBy("m_").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("before_", F.coalesce(F.sum("n_").over(in_trade), F.lit(0)))
+    trades = t.groupBy("trade").agg(F.count(F.lit(1)).alias("t_"))  # nine fixed trades and General
+    trades = trades.withColumn("first_", F.coalesce(F.sum("t_").over(Window.orderBy("trade").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = groups.join(F.broadcast(trades), "trade").select("trade", "m_", (F.col("first_") + F.col("before_")).alias("before_"))
+    own = F.row_number().over(Window.partitionBy("trade", "m_").orderBy("line_key"))
+    return t.withColumn("own_", own).join(placed, ["trade", "m_"]).withColumn("serial", (F.col("own_") + F.col("before_")).cast("int")).drop("own_", "before_", "m_")
+
+
 def trade_serials(rows: DataFrame) -> DataFrame:
     """Every row's trade and its serial on its document's sheet, which has the
     items by trade, then by lower-case description. No task has more than

@@ -29,7 +29,7 @@ def header_rows(rows: DataFrame) -> DataFrame:
     cells, a header word and no item number with a quantity; 0 without any."""
     cells = solid(F.col("cells"))
     words = F.exists(cells, lambda c: reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(w)) for w in HEADER_WORDS)))
-    data = F.col("cells")[0].rlike(r"^\s*\d+(\.\d+)*\s*$") & F.exists(F.slice("cells", 2, 100), lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0)) > 0)
+    data = F.col("cells")[0].rlike(r"^\s*\d+(\.\d+)*\s*$") & F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0)) > 0)
     fits = (F.size(cells) >= 2) & words & ~F.coalesce(data, F.lit(False)) & (F.length(F.array_join(cells, "")) <= 800)
     return rows.groupBy("sheet").agg(F.coalesce(F.min(F.when(fits, F.col("row_idx"))), F.lit(0)).alias("header_row"))
 

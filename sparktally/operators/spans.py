@@ -157,7 +157,7 @@ def bioes_tags(types: str = "types"):
 def bioes_valid(tags: str = "tags"):
     """Whether every I and E follows B or I of its type, and every B and I is
     followed by I or E of it."""
-    kind, name = (lambda t: F.substring(t, 1, 1)), (lambda t: F.substring(t, 3, 100))
+    kind, name = (lambda t: F.substring(t, 1, 1)), (lambda t: F.substring(t, 3, 2**31 - 1))
 
     def fine(t, i):
         before, after = F.coalesce(F.get(tags, i - 1), F.lit("O")), F.coalesce(F.get(tags, i + 1), F.lit("O"))
@@ -173,4 +173,4 @@ def spans_of_tags(spark: SparkSession, tagged: DataFrame) -> DataFrame:
     tokens = tagged.select("doc_id", F.posexplode("tags").alias("i", "tag")).where("tag <> 'O'")
     w = Window.partitionBy("doc_id").orderBy("i")
     islands = tokens.withColumn("island", F.sum(F.substring("tag", 1, 1).isin("B", "S").cast("int")).over(w))
-    return islands.groupBy("doc_id", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.first(F.substring("tag", 3, 100)).alias("type")).drop("island")
+    return islands.groupBy("doc_id", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.first(F.substring("tag", 3, 2**31 - 1)).alias("type")).drop("island")

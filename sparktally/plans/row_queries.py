@@ -203,14 +203,11 @@ def trade_rollup(spark, sf):
 @query(
     "trade_sheet",
     f"""SELECT trade, line_key, row_number() OVER (ORDER BY trade, lower(material), line_key) AS serial
-        FROM (SELECT {SQL_TRADE} AS trade, material, line_key, doc_id FROM {BOQ}) WHERE doc_id % 50 = 7""",
+        FROM (SELECT {SQL_TRADE} AS trade, material, line_key FROM {BOQ})""",
 )
 def trade_sheet(spark, sf):
-    """Serial numbers of one export (documents 7, 57, ... are its contents)."""
-    from pyspark.sql import Window
-
-    t = boq_rows(spark, sf).where("doc_id % 50 = 7").withColumn("trade", rows.trade(F.col("material")))
-    return t.select("trade", "line_key", F.row_number().over(Window.orderBy("trade", F.lower("material"), "line_key")).alias("serial"))
+    """Serial numbers of one export of all items."""
+    return rows.sheet_serials(boq_rows(spark, sf)).select("trade", "line_key", "serial")
 
 
 @query(

@@ -175,17 +175,6 @@ def fuzzy_edges(spark, sf):
     return _candidates(spark, sf).select(F.col("s_doc_id").alias("doc_id"), "s_line_key", "o_line_key", F.round("sim", 6).alias("sim"))
 
 
-@query("row_match_assign")
-def row_match_assign(spark, sf):
-    """One-to-one matching, best first; tests hold it against a plain loop."""
-    return mt.assign(_candidates(spark, sf))
-
-
-@query("fidelity_report")
-def fidelity_report(spark, sf):
-    return mt.fidelity(boq_with_units(spark, sf), predicted(spark, sf), mt.assign(_candidates(spark, sf)))
-
-
 @query(
     "reconciliation_full_outer",
     f"""SELECT coalesce(s.doc_id, o.doc_id) AS doc_id, count(s.n) AS source_keys, count(o.n) AS output_keys, count(*) FILTER (s.n IS NULL) AS extra_keys, count(*) FILTER (o.n IS NULL) AS missing_keys

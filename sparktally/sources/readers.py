@@ -30,18 +30,30 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ontology(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
-    """JSON entries by lower-case name and by every alias; the last entry wins."""
+    """JSON entries (an array of objects in a file) by lower-case name and by
+    every alias; the last entry wins. A file is read by one task, so ids ascend
+    in its order."""
     raw = spark.read.option("multiLine", True).json(path)
-    entries = raw.select(name, "aliases", F.col("_metadata.row_index").alias("ord"))
+    entries = raw.select(name, "aliases", F.monotonically_increasing_id().alias("ord"))
     keyed = entries.select(F.explode(F.array_union(F.array(F.col(name)), F.coalesce("aliases", F.array().cast("array<string>")))).alias("key"), name, "ord")
     return keyed.groupBy(F.lower("key").alias("key")).agg(F.max_by(name, "ord").alias(name))
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """source, sha256 and size_bytes of files: their provenance."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """products of a JSON catalog, the first row of each name, with its hash."""
-    products = spark.read.option("multiLine", True).json(path).select(F.explode("products").alias("p")).select("p.*")
+    """products of a JSON catalog, the first row of each name, with the file they
+    are from and its hash."""
+    raw = spark.read.option("multiLine", True).json(path).select(F.explode("products").alias("p"), F.col("_metadata.file_path").alias("file"))
     w = Window.partitionBy(F.trim(F.lower("name"))).orderBy("row_no")
-    return products.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth").withColumn("sha256", F.sha2("name", 256))
+    products = raw.select("p.*", "file").withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    name = lambda c: F.element_at(F.split(c, "/"), -1)  # noqa: E731  # readers spell a file's scheme differently
+    hashes = file_hashes(spark, path).select(name("source").alias("source"), "sha256")
+    return products.withColumn("source", name(F.col("file"))).drop("file").join(F.broadcast(hashes), "source", "left")  # a row a file
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
