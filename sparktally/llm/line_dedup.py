@@ -160,14 +160,16 @@ def candidates(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     return small.alias("y").join(large.alias("x"), (y("tok") == x("tok")) & met).select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"))
 
 
-def heads(entries: DataFrame, percent: int, first: int = 3) -> DataFrame:
-    """Stored (late, early): entries and the earliest entry that has one of their
-    three rarest words so early in its order, if they may match. A large group
-    of copies finds most of its matches here, one row a member."""
+def heads(entries: DataFrame, percent: int, first: int = 6, hubs: int = 32) -> DataFrame:
+    """Stored (late, early): entries and the earliest of the hubs of their rarest
+    words that may match. A word's hubs are the first entries that have it so
+    early in their order, one of each of `hubs` classes of entries. A member of
+    a large group of copies finds a match here, at a few comparisons a member,
+    and so doesn't meet the whole group."""
     own = _postings(entries.withColumn("late", F.lit(True)), percent, first)
-    hubs = own.groupBy("tok").agg(F.min(F.struct("eid", "n", "z", "q")).alias("hub"))
+    kept = own.groupBy("tok", F.pmod(F.xxhash64("eid"), F.lit(hubs)).alias("c")).agg(F.min(F.struct("eid", "n", "z", "q")).alias("hub")).select("tok", "hub")
     y, x = (lambda c: F.col(c)), (lambda c: F.col("hub")[c])
-    near = own.join(hubs, "tok").where((F.col("eid") > x("eid")) & _bound(y, x, percent))
+    near = own.join(kept, (own.tok == kept.tok) & (own.eid > x("eid")) & _bound(y, x, percent))
     return stored(near.groupBy(F.col("eid").alias("late")).agg(F.min("hub.eid").alias("early")), "heads")
 
 
