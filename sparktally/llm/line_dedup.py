@@ -11,9 +11,9 @@ n - ceil(0.8 n) + 1 words among the first n - ceil(8/9 n) + 1 of the smaller
 Postings of these prefixes are joined by word, a join that may split the list of
 a frequent word over tasks. Inside the join, sizes (length filter), the word's
 places in both entries (positional filter) and parity sketches bound the
-overlap. Of an entry's candidates only one is looked at first: the first entry
-with one of its rarest words, else the earliest of the join. Its words and the
-entry's are fetched, and Jaccard decides. Entries that this candidate does not
+overlap. Of an entry's candidates only one is looked at first, by the sketches the
+closest: of the first entries with one of its rarest words, else of the join.
+Its words and the entry's are fetched, and Jaccard decides. Entries that this candidate does not
 match then meet all their candidates. Later matches are
 removed: a line goes if an earlier line (by document id, then line number) of
 the input is at least 0.8 similar to it.
@@ -148,7 +148,7 @@ def candidates(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     may match and whose later entry looks for a match. No condition is about
     one side alone, so that a self-join shuffles its postings once."""
     y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
-    n, xn = y("n"), x("n")
+    n, xn, z = y("n"), x("n"), y("z").bitwiseXOR(x("z"))
     met = (
         F.when(y("eid") > x("eid"), y("late")).otherwise(x("late"))
         & (n <= xn)
@@ -157,11 +157,16 @@ def candidates(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
         & ((100 + percent) * F.least(n - y("at"), xn - x("at")) >= percent * (n + xn))
         & _bound(y, x, percent)
     )
-    return small.alias("y").join(large.alias("x"), (y("tok") == x("tok")) & met).select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"))
+    return small.alias("y").join(large.alias("x"), (y("tok") == x("tok")) & met).select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"), F.bit_count(z).alias("differ"))
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of (late, early, differ) the early entry whose sketch differs least."""
+    return pairs.groupBy("late").agg(F.min(F.struct("differ", "early")).alias("b")).select("late", "b.early")
 
 
 def heads(entries: DataFrame, percent: int, first: int = 6, hubs: int = 32) -> DataFrame:
-    """Stored (late, early): entries and the earliest of the hubs of their rarest
+    """Stored (late, early): entries and the closest of the hubs of their rarest
     words that may match. A word's hubs are the first entries that have it so
     early in their order, one of each of `hubs` classes of entries. A member of
     a large group of copies finds a match here, at a few comparisons a member,
@@ -170,7 +175,8 @@ def heads(entries: DataFrame, percent: int, first: int = 6, hubs: int = 32) -> D
     kept = own.groupBy("tok", F.pmod(F.xxhash64("eid"), F.lit(hubs)).alias("c")).agg(F.min(F.struct("eid", "n", "z", "q")).alias("hub")).select("tok", "hub")
     y, x = (lambda c: F.col(c)), (lambda c: F.col("hub")[c])
     near = own.join(kept, (own.tok == kept.tok) & (own.eid > x("eid")) & _bound(y, x, percent))
-    return stored(near.groupBy(F.col("eid").alias("late")).agg(F.min("hub.eid").alias("early")), "heads")
+    differ = F.bit_count(F.col("z").bitwiseXOR(x("z")))
+    return stored(closest(near.select(F.col("eid").alias("late"), x("eid").alias("early"), differ.alias("differ"))), "heads")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -202,7 +208,7 @@ def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_ro
     if some.count() <= broadcast_rows:
         held = F.broadcast(held)
     all_ = _postings(entries.join(held, "eid", "left").withColumn("late", F.coalesce("late", F.lit(True))), percent)
-    others = candidates(all_, all_, percent).groupBy("late").agg(F.min("early").alias("early"))
+    others = closest(candidates(all_, all_, percent))
     first = stored(some.unionByName(others), "first")
     found = stored(verified(docs, first, entries, percent, broadcast_rows), "found")
     open_ = stored(first.join(found.select(F.col("eid").alias("late")), "late", "left_anti").select(F.col("late").alias("eid")), "open")
@@ -216,7 +222,7 @@ def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_ro
         some = F.broadcast(some)
     all_ = _postings(entries.withColumn("late", F.lit(False)), percent)
     near = candidates(all_, some, percent).unionByName(candidates(some, all_, percent)).unionByName(candidates(some, some, percent))
-    rest = stored(near.distinct().join(first, ["late", "early"], "left_anti"), "rest")
+    rest = stored(near.select("late", "early").distinct().join(first, ["late", "early"], "left_anti"), "rest")
     return stored(found.unionByName(verified(docs, rest, entries, percent, broadcast_rows)), "found")
 
 
