@@ -183,9 +183,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     # Shards of one power of two of the norm: one outlier would flatten all
     # other distances. A double has some 2,100 of them.
-    most = F.array_max(F.transform("v", F.abs))
-    size = F.log2(most) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
-    items = sound(vectors).withColumn("norm", F.floor(size).cast("int"))
+    items = sound(vectors).withColumn("most", F.array_max(F.transform("v", F.abs)))
+    length = F.aggregate(F.transform("v", lambda x: x / F.col("most")), F.lit(0.0), lambda a, x: a + x * x)
+    items = items.withColumn("norm", F.floor(F.log2("most") + F.log2(length) / 2).cast("int"))
     counts = sorted((r.norm, r.n) for r in items.groupBy("norm").agg(F.count(F.lit(1)).alias("n")).collect())
     classes, shards = [], 0
     for norm, n in counts:
