@@ -115,17 +115,21 @@ def item_tables(spark, sf):
     return rows.select("doc_id", F.size("rows").alias("n_rows"), tb.is_item_table(F.col("rows")).alias("is_table"))
 
 
+_HEADS = ["Bill of Quantities", "x", "penalty clause", "Annexure II", "Technical Specifications", "1.1 pipe 5 nos  2.1 wire 7 m  3.1 sand 8 cum", "Notice inviting tender", " "]
+_HEADED = f"concat({pick('doc_id', quoted(_HEADS))}, chr(10), coalesce(text, ''))"
+
+
 def _page_sql() -> str:
     has = lambda where, words: "(" + " OR ".join(f"contains({where}, '{w}')" for w in words) + ")"
     cases = " ".join(f"WHEN {has('x' if everywhere else 'head', words)} THEN '{kind}'" for kind, everywhere, words in tb.PAGE_MARKERS)
     return f"""SELECT doc_id, page, CASE WHEN len(s) = 0 THEN 'unknown' {cases} WHEN len(regexp_extract_all(raw, '{tb.PAGE_ROW}')) >= 3 THEN 'boq' ELSE 'unknown' END AS page_class
       FROM (SELECT *, lower(raw) AS x, lower(array_to_string(s[1:3], ' ')) AS head FROM (SELECT doc_id, page, array_to_string(lines, chr(10)) AS raw,
-      list_filter(list_transform(lines, lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS s FROM {_PAGES}))"""
+      list_filter(list_transform(lines, lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS s FROM {_PAGES.replace("coalesce(text, '')", _HEADED)}))"""
 
 
 @query("page_class", _page_sql())
 def page_class(spark, sf):
-    return tx.pages_of(docs(spark, sf)).select("doc_id", "page", tb.page_class(F.col("lines")).alias("page_class"))
+    return tx.pages_of(docs(spark, sf).selectExpr("doc_id", f"{_HEADED} AS text")).select("doc_id", "page", tb.page_class(F.col("lines")).alias("page_class"))
 
 
 _WITH_HEADS = "concat({}, CASE WHEN doc_id % 3 = 0 THEN concat({nl}, '  Scope of Work | qty | unit', {nl}, 'payment terms') ELSE concat({nl}, 'The BOQ, rate and amount') END)"
