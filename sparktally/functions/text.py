@@ -10,16 +10,20 @@ from pyspark.sql.types import StringType
 
 # Keywords by section type, project type and page rule.
 SECTIONS = {
-    "PREAMBLE": ["preamble", "introduction", "background"],
+    "PREAMBLE": ["preamble", "general description", "scope of work", "project description", "introduction", "background", "scope", "general", "project overview"],
     "SCOPE": ["scope of work", "scope of the work", "scope", "work scope", "scope item", "schedule of items", "bill of quantities", "boq",
               "item description", "description of items", "schedule", "bill of materials"],
     "SCHEDULE_OF_ITEMS": ["schedule of items", "schedule of rates", "bill of quantities", "boq", "item schedule", "price schedule",
                           "rate schedule", "quantity schedule"],
     "SPECIFICATIONS": ["specification", "specifications", "technical specification", "tech spec", "material specification", "workmanship",
                        "quality requirement", "acceptance criteria", "standard", "standards", "codes", "code of practice"],
-    "DRAWINGS_LIST": ["drawing", "drawings", "list of drawings", "drawing numbers", "architectural drawings", "structural drawings", "plans", "sketches"],
-    "COMMERCIAL": ["commercial", "payment terms", "price", "rates", "cost", "bid", "tender", "quoted price", "lumpsum", "taxes", "gst",
-                   "terms of payment", "bank guarantee", "insurance", "penalty", "liquidated damages"],
+    "DRAWINGS_LIST": ["drawing", "drawings", "drawing list", "list of drawings", "drawing numbers", "architectural drawings", "structural drawings",
+                      "plans", "sketches"],
+    "COMMERCIAL": ["commercial", "payment terms", "price", "rates", "cost", "bid", "tender", "quoted price", " lumpsum", "basis of pricing", "taxes", "gst",
+                   "terms of payment", "validity of tender", "bank guarantee", "safety goggle", "safety helmet", "insurance", "penalty",
+                   "liquidated damages", "performance security"],
+    "GENERAL": ["general terms", "general conditions", "terms and conditions", "t&c", "condition of contract", "general", "miscellaneous", "others",
+                "note", "notes"],
 }
 PROJECTS = {
     "building": ["building", "residential", "commercial", "apartment", "office", "hospital", "school", "floor", "column", "beam", "slab", "wall", "foundation"],
