@@ -169,8 +169,10 @@ def bioes_valid(tags: str = "tags"):
 
 
 def spans_of_tags(spark: SparkSession, tagged: DataFrame) -> DataFrame:
-    """Token spans of BIOES tags: islands that open at B and S."""
+    """Token spans of BIOES tags: islands that open at B and S. The type is that
+    of an island's first token, the least where documents share an id, so that
+    it does not depend on the order of rows."""
     tokens = tagged.select("doc_id", F.posexplode("tags").alias("i", "tag")).where("tag <> 'O'")
     w = Window.partitionBy("doc_id").orderBy("i")
     islands = tokens.withColumn("island", F.sum(F.substring("tag", 1, 1).isin("B", "S").cast("int")).over(w))
-    return islands.groupBy("doc_id", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.first(F.substring("tag", 3, 2**31 - 1)).alias("type")).drop("island")
+    return islands.groupBy("doc_id", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min(F.struct("i", F.substring("tag", 3, 2**31 - 1).alias("type")))["type"].alias("type")).drop("island")

@@ -2,9 +2,17 @@
 
 import pandas as pd
 
+from sparktally.operators import spans
 from sparktally.plans import QUERIES
 
 
+def test_bioes_types_of_a_shared_id(spark):
+    tags = [(1, ["S-GRADE", "O"]), (1, ["S-MATERIAL", "O"]), (2, ["S-A", "B-C", "E-C"]), (2, ["O", "B-B", "E-B"])]
+    for rows in (tags, tags[::-1]):
+        got = spans.spans_of_tags(spark, spark.createDataFrame(rows, "doc_id long, tags array<string>").coalesce(1)).collect()
+        assert sorted((r.doc_id, r.first, r.last, r.type) for r in got) == [(1, 0, 0, "GRADE"), (2, 0, 0, "A"), (2, 1, 2, "B")]
+
+
 def test_equal_extractions_go_to_the_column_aware(spark, tmp_path):
     """0.1 + 0.2 + 0.3 is more than 0.3 + 0.2 + 0.1 in doubles."""
     lines = []
