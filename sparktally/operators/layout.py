@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -44,26 +47,41 @@ def lines_by_anchor(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
     return folded.groupBy("doc_id", "page", F.col("o.line").alias("line")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
 
 
-def _digit_columns(pdf: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    clusters: list[dict] = []
-    for r in pdf.sort_values(["x", "y"]).itertuples():
-        near = next((c for c in clusters if abs(c["sum"] / len(c["rows"]) - r.x) <= tolerance), None)
-        if near is None:
-            clusters.append({"sum": r.x, "rows": [r]})
-        else:
-            near["sum"] += r.x
-            near["rows"].append(r)
-    out = []
-    for i, c in enumerate(clusters):
-        digits = [r for r in c["rows"] if r.text.isdigit() and len(r.text) == 1]
-        if len(digits) >= 3 and len(digits) >= 0.5 * len(c["rows"]):
-            text = "".join(r.text for r in sorted(digits, key=lambda r: (r.y, r.x)))
-            out.append((pdf.doc_id.iloc[0], i, len(digits), text))
-    return pd.DataFrame(out, columns=["doc_id", "cluster", "n_digits", "digits"])
-
-
-def digit_columns(words: DataFrame, tolerance: float = 30.0) -> DataFrame:
+def _digit_columns(words: Iterator[tuple], tolerance: float) -> Iterator[tuple]:
+    """(doc_id, cluster, n_digits, digits) of words sorted by (doc_id, x). What is
+    too far from the last cluster's mean is too far from those before, so only
+    the last one is open, and of it only the digits are kept."""
+    doc, cluster, total, n, digits = None, -1, 0.0, 0, []
+
+    def close() -> Iterator[tuple]:
+        if len(digits) >= 3 and len(digits) >= 0.5 * n:
+            yield doc, cluster, len(digits), "".join(t for *_, t in sorted(digits))
+
+    for d, x, y, text in words:
+        if n == 0 or d != doc:
+            yield from close()
+            doc, cluster, total, n, digits = d, 0, 0.0, 0, []
+        elif abs(total / n - x) > tolerance:
+            yield from close()
+            cluster, total, n, digits = cluster + 1, 0.0, 0, []
+        total, n = total + x, n + 1
+        if len(text) == 1 and text.isdigit():
+            digits.append((y, x, text))
+    yield from close()
+
+
+def digit_columns(words: DataFrame, tolerance: float = 30.0, size: int = 10_000) -> DataFrame:
     """Columns of single digits: clusters around a running mean of x, which
-    depends on the order of the words; one page's words at a time."""
+    depends on the order of the words. One shuffle and one sort by document; the
+    words stream through, as a Python call for each document costs far more."""
     schema = "doc_id long, cluster int, n_digits int, digits string"
-    return words.groupBy("doc_id").applyInPandas(lambda pdf: _digit_columns(pdf, tolerance), schema)
+    types = pa.schema([("doc_id", pa.int64()), ("cluster", pa.int32()), ("n_digits", pa.int32()), ("digits", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        found = _digit_columns(rows, tolerance)
+        while part := list(islice(found, size)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types.types)], schema=types)
+
+    keys = ["doc_id", "x", "y", "text"]
+    return words.select(*keys).repartition(F.xxhash64("doc_id")).sortWithinPartitions(*keys).mapInArrow(run, schema)
