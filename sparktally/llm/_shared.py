@@ -7,6 +7,7 @@ driver and every executor see, so that losing an executor loses nothing.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -65,9 +66,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, new_path(df.sparkSession, name))
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go when it ends (since Spark 4.1), not when
+    the driver happens to collect its garbage. A query that runs again shuffles
+    again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored_at(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -70,6 +70,23 @@ def test_intermediate_tables_can_go(spark):
     assert not os.path.exists(path)
 
 
+def test_shuffle_files_go_with_their_query(spark):
+    import time
+    from pathlib import Path
+
+    folders = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {x.name for d in folders for x in d.rglob("shuffle_*")}
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    table = _shared.stored(spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).count().repartition(3, "count"), "x")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert table.count() == 1000 and spark.conf.get(key) == setting
+
+
 # --- 1 and 2
 
 
