@@ -87,6 +87,22 @@ def test_shuffle_files_go_with_their_query(spark):
     assert table.count() == 1000 and spark.conf.get(key) == setting
 
 
+def test_jaccard_join_leaves_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    folders = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x for d in folders for x in d.rglob("shuffle_*.data")}
+    before = files()
+    jaccard_join.links(jaccard_join.sets_of(docs(spark, awkward())))
+    left = lambda: sum(x.stat().st_size for x in files() - before if x.exists())
+    for _ in range(50):
+        if left() < 1000:
+            break
+        time.sleep(0.1)
+    assert left() < 1000  # counts of a few rows; the exchange of shingles alone takes more than 40 kB
+
+
 # --- 1 and 2
 
 
