@@ -27,7 +27,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import map_batches, new_path, parts_for
+from ._shared import map_batches, new_path, parts_for, small_batches
 
 BLOCK_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
@@ -109,11 +109,12 @@ def blocks(docs: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = map_batches(rows, lambda it: _make_blocks(it, limit), "block long, bytes long, data binary")
     path = new_path(docs.sparkSession, "blocks")
-    out.write.option("compression", "uncompressed").parquet(path)
+    with small_batches(docs.sparkSession):
+        out.write.option("compression", "uncompressed").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def words(docs: Docs, lower: bool = False, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(docs: Docs, lower: bool = False, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all words, word offsets of the documents, and the words'
     first and end bytes. Long documents are hashed in chunks of whole words."""
     data, table = docs.data, _LOWER if lower else _BYTE

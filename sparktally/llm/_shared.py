@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,22 +68,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Within, a query's shuffle files go when it ends (since Spark 4.1), not when
-    the driver happens to collect its garbage. A query that runs again shuffles
-    again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends (since Spark 4.1), not when
+    the driver happens to collect its garbage. A query that runs again shuffles
+    again."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession):
+    """Within, rows go to Python in Arrow batches of about BATCH_BYTES: both the
+    executor and its worker hold a batch, and 10,000 texts are any size."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored_at(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

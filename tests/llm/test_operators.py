@@ -70,6 +70,33 @@ def test_intermediate_tables_can_go(spark):
     assert not os.path.exists(path)
 
 
+def test_batches_for_python_are_small(spark):
+    d = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100_000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    n = [r.n for r in _shared.stored(_shared.map_batches(d, sizes, "n long"), "x").collect()]
+    assert sum(n) >= 30_000_000 and max(n) <= 2 * _shared.BATCH_BYTES
+
+
+def test_hashing_in_small_chunks_takes_little_memory():
+    import tracemalloc
+
+    text = ("some words of a text " * 200_000).encode()
+    d = _blocks.unpack(_blocks._pack([1], [text]))
+    tracemalloc.start()
+    few = _blocks.words(d)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * len(text)
+    for a, b in zip(few, _blocks.words(d, chunk=1 << 20)):
+        assert (a == b).all()
+
+
 def test_shuffle_files_go_with_their_query(spark):
     import time
     from pathlib import Path
