@@ -68,7 +68,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -81,13 +81,13 @@ def shuffles_removed(spark: SparkSession):
     """Within, a query's shuffle files go when it ends (since Spark 4.1), not when
     the driver happens to collect its garbage. A query that runs again shuffles
     again."""
-    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def small_batches(spark: SparkSession):
     """Within, rows go to Python in Arrow batches of about BATCH_BYTES: both the
     executor and its worker hold a batch, and 10,000 texts are any size."""
-    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stored_at(df: DataFrame, path: str) -> DataFrame:

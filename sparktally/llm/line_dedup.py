@@ -28,9 +28,11 @@ empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._shared import SPACE, shuffles_removed, stored
+from ._shared import SPACE, setting, shuffles_removed, stored
 
 LAST = 2**63 - 1
 SLOTS = 1 << 18
@@ -39,18 +41,28 @@ LONG = 64
 PLACE = ("doc_id", "text_key", "line_no")
 
 
-def _split(text: str, ends: str = "\t\x0b\x0c\r") -> Column:
-    """Words of a text and empty strings. To split at one plain character needs
-    no pattern matching, and is several times faster."""
-    out = F.lower(F.col(text))
+def _plain(text: str, ends: str = "\t\x0b\x0c\r") -> Column:
+    """A text in lower case, with spaces for other white space within lines. To
+    split that at one plain character needs no pattern matching, and is several
+    times faster. To look whether there is any is cheaper than to replace it."""
+    low = out = F.lower(F.col(text))
     for c in ends:
         out = F.replace(out, F.lit(c), F.lit(" "))
-    return F.split(out, " ")
+    return F.when(reduce(Column.__or__, (F.contains(low, F.lit(c)) for c in ends)), out).otherwise(low)
+
+
+def _split(line: str) -> Column:
+    """Words of a plain text's line and empty strings."""
+    return F.split(line, " ")
 
 
 def _words(line: str) -> Column:
     """Distinct words of a line."""
-    return F.array_remove(F.array_distinct(_split(line)), "")
+    return F.array_remove(F.array_distinct(F.split(_plain(line), " ")), "")
+
+
+def _slot(word, slots: int) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(slots - 1))
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -67,11 +79,13 @@ def rarity(docs: DataFrame, slots: int = SLOTS) -> Column:
     """Array of `slots` numbers: four times the binary logarithm of how many
     words of all texts fall into a slot."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(_split("text", "\n\t\x0b\x0c\r")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(slots - 1)).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    lines = docs.select(F.explode(F.split(_plain("text"), "\n")).alias("line"))
+    words = lines.select(F.explode(_split("line")).alias("w"))
+    counts = words.groupBy(_slot("w", slots).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     level = F.coalesce(F.floor(4 * F.log2("n")), F.lit(0)).cast("int")
     every = spark.range(slots).join(F.broadcast(counts), "id", "left").select(F.struct("id", level.alias("level")).alias("s"))
-    with shuffles_removed(spark):
+    # All slots are counted in the fast map, which by default takes 2^16 keys.
+    with shuffles_removed(spark), setting(spark, "spark.sql.codegen.aggregate.fastHashMap.capacityBit", "19"):
         one = every.agg(F.to_json(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["level"]))).first()[0]
     return F.from_json(F.lit(one), "array<int>")  # a constant of the plan
 
@@ -82,33 +96,34 @@ def _some_left(n: Column, percent: int) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, line."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("parts"))
+    """doc_id, text_key, line_no, line (plain)."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.split(_plain("text"), "\n").alias("parts"))
     return keyed.select("doc_id", "text_key", F.posexplode("parts").alias("line_no", "line"))  # a text's hash once, not for every line
 
 
-def _parity(t: str, own=None) -> Column:
-    """Parities of 64 classes of tokens."""
+def _parity(t: str, odd: bool = False) -> Column:
+    """Parities of 64 classes of tokens, or of odd tokens: a shift takes the
+    lowest six bits of a hash."""
     one = F.lit(1).cast("long")
-    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x) if own is None else F.when(own(x), bit(x)).otherwise(F.lit(0).cast("long"))))
+    return F.aggregate(t, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", x.bitwiseAND(one) if odd else one, F.hash(x))))
 
 
 def line_table(docs: DataFrame, percent: int = 80, slots: int = SLOTS) -> DataFrame:
     """Stored, one row per line that has words: its place, entry (128 bits of its
     set), n, prefix, and sketches z and q. All tokens are computed here, once."""
     level = rarity(docs, slots)
-    slot = lambda w: F.get(level, F.xxhash64(w).bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long")
+    # Never null: arrays that can't hold nulls are sorted as plain numbers.
+    slot = lambda w: F.coalesce(F.get(level, _slot(w, slots)), F.lit(0)).cast("long")
     token = lambda w: F.call_function("shiftleft", slot(w), F.lit(55)).bitwiseOR(F.call_function("shiftrightunsigned", F.xxhash64(w), F.lit(9)))
     words = lines_of(docs).select(*PLACE, F.transform(_split("line"), token).alias("h"))
-    tokens = words.select(*PLACE, F.sort_array(F.array_remove(F.array_distinct("h"), token(F.lit("")))).alias("t"))
+    tokens = words.select(*PLACE, F.sort_array(F.array_except("h", F.array(token(F.lit(""))))).alias("t"))
     n = F.size("t")
     # A prefix needs no order of its own any more: 32 bits of a token will do.
     prefix = F.when(_some_left(n, percent), F.transform(F.slice("t", F.lit(1), n - _least(n, percent) + 1), lambda x: F.hash(x)))
     return stored(
         tokens.select(
             *PLACE, F.xxhash64("t").alias("e1"), F.xxhash64(F.lit(1), "t").alias("e2"), n.alias("n"), prefix.alias("prefix"), _parity("t").alias("z"),
-            F.when(n > LONG, _parity("t", lambda x: x.bitwiseAND(F.lit(64)) > 0)).otherwise(F.lit(0).cast("long")).alias("q"),
+            F.when(n > LONG, _parity("t", odd=True)).otherwise(F.lit(0).cast("long")).alias("q"),
         ),
         "lines",
     ).where("n > 0")  # a filter on t would compute it twice
@@ -144,17 +159,19 @@ def _bound(y, x, percent: int) -> Column:
     )
 
 
-def candidates(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+def candidates(small: DataFrame, large: DataFrame, percent: int, either: bool = False) -> DataFrame:
     """(late, early) of all pairs of postings, the first the smaller entry's, that
     may match and whose later entry looks for a match. No condition is about
-    one side alone, so that a self-join shuffles its postings once."""
+    one side alone, so that a self-join shuffles its postings once. With `either`
+    side's entry the smaller one, for which that join needs no second pass."""
     y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
     n, xn, z = y("n"), x("n"), y("z").bitwiseXOR(x("z"))
+    of_smaller = lambda a, b: (a("n") <= b("n")) & (a("at") <= F.least(a("n") - _least_of_smaller(a("n"), percent), b("n")))
     met = (
-        F.when(y("eid") > x("eid"), y("late")).otherwise(x("late"))
-        & (n <= xn)
+        (of_smaller(y, x) | of_smaller(x, y) if either else of_smaller(y, x))
+        & ((100 + percent) * F.bit_count(z) <= (100 - percent) * (n + xn))  # most pairs fail here
+        & F.when(y("eid") > x("eid"), y("late")).otherwise(x("late"))
         & (y("eid") != x("eid"))
-        & (y("at") <= F.least(n - _least_of_smaller(n, percent), xn))
         & ((100 + percent) * F.least(n - y("at"), xn - x("at")) >= percent * (n + xn))
         & _bound(y, x, percent)
     )
@@ -166,22 +183,27 @@ def closest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("late").agg(F.min(F.struct("differ", "early")).alias("b")).select("late", "b.early")
 
 
-def heads(entries: DataFrame, percent: int, first: int = 6, hubs: int = 32) -> DataFrame:
+def heads(entries: DataFrame, percent: int, broadcast_rows: int, first: int = 6, hubs: int = 32) -> DataFrame:
     """Stored (late, early): entries and the closest of the hubs of their rarest
     words that may match. A word's hubs are the first entries that have it so
     early in their order, one of each of `hubs` classes of entries. A member of
     a large group of copies finds a match here, at a few comparisons a member,
-    and so doesn't meet the whole group."""
-    own = _postings(entries.withColumn("late", F.lit(True)), percent, first)
-    kept = own.groupBy("tok", F.pmod(F.xxhash64("eid"), F.lit(hubs)).alias("c")).agg(F.min(F.struct("eid", "n", "z", "q")).alias("hub")).select("tok", "hub")
-    y, x = (lambda c: F.col(c)), (lambda c: F.col("hub")[c])
-    near = own.join(kept, (own.tok == kept.tok) & (own.eid > x("eid")) & _bound(y, x, percent))
-    differ = F.bit_count(F.col("z").bitwiseXOR(x("z")))
-    return stored(closest(near.select(F.col("eid").alias("late"), x("eid").alias("early"), differ.alias("differ"))), "heads")
+    and so doesn't meet the whole group. Words that no more than `hubs` entries
+    have so early are left to the join."""
+    own = _postings(entries.withColumn("late", F.lit(True)), percent, first).select("tok", "eid", "n", "z", "q")
+    often = stored(own.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hubs).select("tok"), "often")
+    own = own.join(F.broadcast(often) if often.count() <= broadcast_rows else often, "tok", "left_semi")
+    # min_by of numbers, not the least row: that is hashed, not sorted.
+    of = lambda c: F.min_by(c, "eid").alias(c)
+    kept = own.groupBy("tok", F.pmod(F.xxhash64("eid"), F.lit(hubs)).cast("int").alias("c")).agg(F.min("eid").alias("eid"), of("n"), of("z"), of("q"))
+    y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
+    near = own.alias("y").join(kept.alias("x"), (y("tok") == x("tok")) & (y("eid") > x("eid")) & _bound(y, x, percent))
+    differ = F.bit_count(y("z").bitwiseXOR(x("z")))
+    return stored(closest(near.select(y("eid").alias("late"), x("eid").alias("early"), differ.alias("differ"))), "heads")
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Words (eid, w) of the wanted entries (eid, place), from the texts, one row
+    """Lines (eid, line) of the wanted entries (eid, place), from the texts, one row
     an entry, also where rows of docs are repeated. Wanted lines have a fixed
     width; they are broadcast, by document, only while they are few."""
     lines = stored(wanted, "wanted")
@@ -190,21 +212,21 @@ def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     met = texts.join(F.broadcast(by_doc) if n <= broadcast_rows else by_doc, ["doc_id", "text_key"])
     parts = met.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-    return parts.select("w.eid", F.get("parts", F.col("w.line_no")).alias("line")).dropDuplicates(["eid"]).select("eid", _words("line").alias("w"))
+    return parts.select("w.eid", F.get("parts", F.col("w.line_no")).alias("line")).dropDuplicates(["eid"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, entries: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """Of stored pairs (late, early), the late ones whose words match."""
     ends = pairs.select(F.col("late").alias("eid")).unionByName(pairs.select(F.col("early").alias("eid"))).distinct()
-    words = stored(_fetch(docs, ends.join(entries.select("eid", *PLACE), "eid"), broadcast_rows), "words")
-    sides = pairs.join(words.select(F.col("eid").alias("late"), F.col("w").alias("y")), "late").join(words.select(F.col("eid").alias("early"), F.col("w").alias("x")), "early")
-    shared = F.size(F.array_intersect("x", "y"))
-    return sides.where((100 + percent) * shared >= percent * (F.size("x") + F.size("y"))).select(F.col("late").alias("eid")).distinct()
+    lines = stored(_fetch(docs, ends.join(entries.select("eid", *PLACE), "eid"), broadcast_rows), "words")
+    sides = pairs.join(lines.select(F.col("eid").alias("late"), F.col("line").alias("y")), "late").join(lines.select(F.col("eid").alias("early"), F.col("line").alias("x")), "early")
+    y, x = _words("y"), _words("x")  # a stored line is less to write and to shuffle than its words
+    return sides.where(100 * F.size(F.array_intersect(x, y)) >= percent * F.size(F.array_union(x, y))).select(F.col("late").alias("eid")).distinct()
 
 
 def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """Entries (eid) that an earlier entry matches."""
-    some = heads(entries, percent)
+    some = heads(entries, percent, broadcast_rows)
     held = some.select(F.col("late").alias("eid"), F.lit(False).alias("late"))
     if some.count() <= broadcast_rows:
         held = F.broadcast(held)
@@ -222,7 +244,7 @@ def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_ro
     if n <= broadcast_rows // 10:  # ten postings an entry, each of a fixed width
         some = F.broadcast(some)
     all_ = _postings(entries.withColumn("late", F.lit(False)), percent)
-    near = candidates(all_, some, percent).unionByName(candidates(some, all_, percent)).unionByName(candidates(some, some, percent))
+    near = candidates(all_, some, percent, either=True)  # pairs of open entries, too: all_ has the earlier one
     rest = stored(near.select("late", "early").distinct().join(first, ["late", "early"], "left_anti"), "rest")
     return stored(found.unionByName(verified(docs, rest, entries, percent, broadcast_rows)), "found")
 

@@ -502,3 +502,25 @@ def test_lines_near_those_of_repeated_rows(spark, limit):
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(d).collect()), key=repr)
     assert got == plain_line_removal(rows)
     assert line_dedup.matches(d, line_dedup.entries_of(line_dedup.line_table(d)), broadcast_rows=limit).count() == 3
+
+
+def test_line_pairs_in_one_pass(spark):
+    """One pass over all postings finds what two and one of open entries find; only words of
+    more entries than hubs are looked up there; no pair is lost either way."""
+    rng = np.random.RandomState(8)
+    base = [words(20, s, 5000).split() for s in range(200, 206)]
+    rows = [(i, " ".join(w for w in base[i % 6] if rng.rand() > 0.06) + f" own{i}\tx{rng.randint(9)}") for i in range(120)]
+    d = docs(spark, rows)
+    entries = line_dedup.entries_of(line_dedup.line_table(d))
+    for limit in (500_000, 0):
+        assert line_dedup.heads(entries, 80, limit).count() == 0  # 20 lines a group, 32 hubs
+        assert line_dedup.heads(entries, 80, limit, hubs=4).count() > 60
+    open_ = entries.where("eid % 3 = 0")
+    some = line_dedup._postings(open_.withColumn("late", F.lit(True)), 80)
+    all_ = line_dedup._postings(entries.withColumn("late", F.lit(False)), 80)
+    one = line_dedup.candidates(all_, some, 80, either=True)
+    parts = [line_dedup.candidates(a, b, 80) for a, b in ((all_, some), (some, all_), (some, some))]
+    several = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert rows_of(one.distinct(), "late", "early") == rows_of(several.distinct(), "late", "early") != []
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(d).collect()), key=repr)
+    assert got == plain_line_removal(rows)
