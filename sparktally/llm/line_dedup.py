@@ -37,7 +37,7 @@ from ._shared import SPACE, setting, shuffles_removed, stored
 LAST = 2**63 - 1
 SLOTS = 1 << 18
 #: Entries of more words have parities of twice as many classes.
-LONG = 64
+LONG = 32
 PLACE = ("doc_id", "text_key", "line_no")
 
 
@@ -183,21 +183,43 @@ def closest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("late").agg(F.min(F.struct("differ", "early")).alias("b")).select("late", "b.early")
 
 
-def heads(entries: DataFrame, percent: int, broadcast_rows: int, first: int = 6, hubs: int = 32) -> DataFrame:
+def frequent(postings: DataFrame, more_than: int, slots: int = SLOTS) -> Column:
+    """Whether a posting's word may have more than so many: true of all that have,
+    and of others in their slot. A table of `slots` marks, whose size never grows,
+    is looked up; a join would pass on most postings of a large corpus."""
+    one, slot = F.lit(1).cast("long"), F.hash("tok").bitwiseAND(F.lit(slots - 1))
+    often = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > more_than)
+    # 64 marks a number: a constant is part of each plan, and of what the driver keeps about it.
+    bits = often.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", one, slot.bitwiseAND(F.lit(63)))).alias("bits"))
+    marks = [0] * -(-slots // 64)
+    with shuffles_removed(postings.sparkSession):
+        for r in bits.collect():  # at most a row for 64 slots
+            marks[r["id"]] = r["bits"]
+    held = F.get(F.from_json(F.lit(str(marks)), "array<bigint>"), F.shiftright(slot, 6))
+    return F.call_function("shiftrightunsigned", held, slot.bitwiseAND(F.lit(63))).bitwiseAND(one) == 1
+
+
+def heads(entries: DataFrame, percent: int, broadcast_rows: int, first: int = 6, hubs: int = 32, share: int = 8) -> DataFrame:
     """Stored (late, early): entries and the closest of the hubs of their rarest
     words that may match. A word's hubs are the first entries that have it so
     early in their order, one of each of `hubs` classes of entries. A member of
     a large group of copies finds a match here, at a few comparisons a member,
-    and so doesn't meet the whole group. Words that no more than `hubs` entries
+    and so doesn't meet the whole group. Words of a group have much the same hubs:
+    an entry's words share the classes out, in shares of at least so many hubs, and
+    so it hardly meets a hub twice. Most words that no more than `hubs` entries
     have so early are left to the join."""
-    own = _postings(entries.withColumn("late", F.lit(True)), percent, first).select("tok", "eid", "n", "z", "q")
-    often = stored(own.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hubs).select("tok"), "often")
-    own = own.join(F.broadcast(often) if often.count() <= broadcast_rows else often, "tok", "left_semi")
+    own = _postings(entries.withColumn("late", F.lit(True)), percent, first).select("tok", "eid", "n", "at", "z", "q")
+    own = own.where(frequent(own, hubs))
     # min_by of numbers, not the least row: that is hashed, not sorted.
     of = lambda c: F.min_by(c, "eid").alias(c)
     kept = own.groupBy("tok", F.pmod(F.xxhash64("eid"), F.lit(hubs)).cast("int").alias("c")).agg(F.min("eid").alias("eid"), of("n"), of("z"), of("q"))
+    kept = stored(kept, "hubs")
+    if kept.count() <= broadcast_rows:
+        kept = F.broadcast(kept)
     y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
-    near = own.alias("y").join(kept.alias("x"), (y("tok") == x("tok")) & (y("eid") > x("eid")) & _bound(y, x, percent))
+    shares = F.least(y("n") - _least(y("n"), percent) + 1, F.lit(first), F.lit(max(1, hubs // share)))
+    own_share = F.pmod(x("c"), shares) == F.pmod(y("at"), shares)
+    near = own.alias("y").join(kept.alias("x"), (y("tok") == x("tok")) & (y("eid") > x("eid")) & own_share & _bound(y, x, percent))
     differ = F.bit_count(y("z").bitwiseXOR(x("z")))
     return stored(closest(near.select(y("eid").alias("late"), x("eid").alias("early"), differ.alias("differ"))), "heads")
 

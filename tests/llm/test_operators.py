@@ -524,3 +524,31 @@ def test_line_pairs_in_one_pass(spark):
     assert rows_of(one.distinct(), "late", "early") == rows_of(several.distinct(), "late", "early") != []
     got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(d).collect()), key=repr)
     assert got == plain_line_removal(rows)
+
+
+def test_line_hubs_are_met_about_once(spark, monkeypatch):
+    """Members of a large group meet each hub about once, not once a word, and no join passes
+    on all postings of frequent words."""
+    rng = np.random.RandomState(9)
+    base = words(40, 300, 5000).split()
+    rows = [(i, " ".join(w for w in base if rng.rand() > 0.04) + f" own{i}") for i in range(150)]
+    d = docs(spark, rows)
+    seen, closest = [], line_dedup.closest
+    monkeypatch.setattr(line_dedup, "closest", lambda pairs: seen.append(pairs) or closest(pairs))
+    assert line_dedup.heads(line_dedup.entries_of(line_dedup.line_table(d)), 80, 500_000).count() > 100
+    pairs = rows_of(seen[0], "late", "early")
+    assert len(pairs) < 1.7 * len(set(pairs))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "LeftSemi" not in plan
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(d).collect()), key=repr)
+    assert got == plain_line_removal(rows)
+
+
+def test_frequent_words_are_all_marked(spark):
+    """Every word of more postings than asked is marked, also where slots are few."""
+    postings = spark.createDataFrame([(w, k) for w in range(300) for k in range(w % 7)], "tok int, eid int")
+    often = {w for w in range(300) if w % 7 > 3}
+    for slots in (1 << 18, 16):
+        marked = {r.tok for r in postings.where(line_dedup.frequent(postings, 3, slots)).select("tok").distinct().collect()}
+        assert marked >= often
+        assert slots == 16 or marked == often
