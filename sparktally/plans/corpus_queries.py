@@ -203,9 +203,10 @@ def event_sessions(spark, sf):
 def extractor_arbitration(spark, sf):
     """The better of two extractions per document; equal ones go to the column-aware.
 
-    Averages meet only at equal counts, so exact sums stand for them: those of
-    doubles would tell equal ones apart by the order of rows."""
+    Averages are of doubles, as in its SQL, added in ascending order: a result
+    that its SQL can give, whatever the order of rows."""
     b = boq_rows(spark, sf).select("doc_id", "confidence", "quantity", F.explode(F.array_compact(F.array(F.when(F.col("page") <= 2, "plain"), F.when(F.col("page") >= 2, "column_aware")))).alias("branch"))
-    s = b.groupBy("doc_id", "branch").agg(F.count_if(F.col("quantity") > 0).alias("good"), F.count(F.lit(1)).alias("n"), F.sum(F.col("confidence").cast("decimal(20, 10)")).alias("c"))
+    s = b.groupBy("doc_id", "branch").agg(F.count_if(F.col("quantity") > 0).alias("good"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("confidence")).alias("all"))
+    s = s.withColumn("c", F.aggregate("all", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
     order = F.struct("good", "n", "c", (F.col("branch") == "column_aware").alias("pref"))
     return s.groupBy("doc_id").agg(F.max_by(F.struct("branch", "good", "n"), order).alias("b")).select("doc_id", "b.branch", "b.good", "b.n")

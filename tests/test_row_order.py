@@ -3,7 +3,9 @@
 import pandas as pd
 
 from sparktally.operators import spans
-from sparktally.plans import QUERIES
+from sparktally.plans import QUERIES, SQL
+
+from .oracle import agree
 
 
 def test_bioes_types_of_a_shared_id(spark):
@@ -24,3 +26,19 @@ def test_equal_extractions_go_to_the_column_aware(spark, tmp_path):
     pd.DataFrame({"p_partkey": parts, "p_name": "hot bolt", "p_type": "SMALL", "p_size": pd.Series([1] * 6, dtype="int32")}).to_parquet(tmp_path / "part.parquet")
     got = QUERIES["extractor_arbitration"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [(1, "column_aware", 3, 3)]
+
+
+def test_extractions_of_unequal_double_averages(spark, small, tmp_path):
+    """0.11 + 0.46 is more than 0.36 + 0.21 in doubles, in either order."""
+    lines = []
+    for order in (1, 2):
+        for item, percent in ((3, 11), (6, 46), (2, 36), (5, 21))[:: 1 if order == 1 else -1]:
+            part = next(p for p in range(2000) if (p * 31 + item * 17) % 101 == percent and (p * 3 + item) % 11 and (order, p, item) not in lines)
+            lines.append((order, part, item))
+    parts = sorted({p for _, p, _ in lines})
+    made = {"lineitem": str(tmp_path / "lineitem.parquet"), "part": str(tmp_path / "part.parquet")}
+    pd.DataFrame({"l_orderkey": [o for o, _, _ in lines], "l_partkey": [p for _, p, _ in lines], "l_suppkey": 1, "l_linenumber": pd.Series([n for _, _, n in lines], dtype="int32"), "l_quantity": 2.0, "l_extendedprice": 1.0}).to_parquet(made["lineitem"])
+    pd.DataFrame({"p_partkey": parts, "p_name": "hot bolt", "p_type": "SMALL", "p_size": pd.Series([1] * len(parts), dtype="int32")}).to_parquet(made["part"])
+    got = QUERIES["extractor_arbitration"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "plain", 2, 2), (2, "plain", 2, 2)]
+    agree(got, SQL["extractor_arbitration"], small, made)
