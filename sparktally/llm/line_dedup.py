@@ -187,16 +187,22 @@ def frequent(postings: DataFrame, more_than: int, slots: int = SLOTS) -> Column:
     """Whether a posting's word may have more than so many: true of all that have,
     and of others in their slot. A table of `slots` marks, whose size never grows,
     is looked up; a join would pass on most postings of a large corpus."""
+    return _marked(postings, more_than, slots)[0]
+
+
+def _marked(postings: DataFrame, more_than: int, slots: int = SLOTS) -> tuple[Column, int]:
+    """frequent(), and how many words have more than so many postings."""
     one, slot = F.lit(1).cast("long"), F.hash("tok").bitwiseAND(F.lit(slots - 1))
     often = postings.groupBy("tok").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > more_than)
     # 64 marks a number: a constant is part of each plan, and of what the driver keeps about it.
-    bits = often.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", one, slot.bitwiseAND(F.lit(63)))).alias("bits"))
-    marks = [0] * -(-slots // 64)
+    bits = often.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(F.call_function("shiftleft", one, slot.bitwiseAND(F.lit(63)))).alias("bits"), F.count(F.lit(1)).alias("words"))
+    marks, words = [0] * -(-slots // 64), 0
     with shuffles_removed(postings.sparkSession):
         for r in bits.collect():  # at most a row for 64 slots
             marks[r["id"]] = r["bits"]
+            words += r["words"]
     held = F.get(F.from_json(F.lit(str(marks)), "array<bigint>"), F.shiftright(slot, 6))
-    return F.call_function("shiftrightunsigned", held, slot.bitwiseAND(F.lit(63))).bitwiseAND(one) == 1
+    return F.call_function("shiftrightunsigned", held, slot.bitwiseAND(F.lit(63))).bitwiseAND(one) == 1, words
 
 
 def heads(entries: DataFrame, percent: int, broadcast_rows: int, first: int = 6, hubs: int = 32, share: int = 8) -> DataFrame:
@@ -206,19 +212,30 @@ def heads(entries: DataFrame, percent: int, broadcast_rows: int, first: int = 6,
     a large group of copies finds a match here, at a few comparisons a member,
     and so doesn't meet the whole group. Words of a group have much the same hubs:
     an entry's words share the classes out, in shares of at least so many hubs, and
-    so it hardly meets a hub twice. Most words that no more than `hubs` entries
-    have so early are left to the join."""
-    own = _postings(entries.withColumn("late", F.lit(True)), percent, first).select("tok", "eid", "n", "at", "z", "q")
-    own = own.where(frequent(own, hubs))
+    so it hardly meets a hub twice. Most words that no more than twice `hubs`
+    entries have so early, of which hubs would be the most part, are left to the
+    join. Where hubs are too many to be broadcast, a word's postings meet in one
+    shuffle, from which both its hubs and those that look for one are read."""
+    own = _postings(entries.withColumn("late", F.lit(True)), percent, first)
+    # n and at in one number, and never null: both sides below have the same columns and filters, and so share a shuffle.
+    sure = lambda c: F.coalesce(c, F.lit(0))
+    own = own.select(*(sure(F.col(c)).alias(c) for c in ("tok", "eid", "z", "q")), sure(F.shiftleft("n", 4) + F.col("at")).alias("na"))
+    often, words = _marked(own, 2 * hubs)
+    own = own.where(often)
+    shared = words * hubs > broadcast_rows
+    if shared:
+        own = own.repartition("tok")
     # min_by of numbers, not the least row: that is hashed, not sorted.
     of = lambda c: F.min_by(c, "eid").alias(c)
-    kept = own.groupBy("tok", F.pmod(F.xxhash64("eid"), F.lit(hubs)).cast("int").alias("c")).agg(F.min("eid").alias("eid"), of("n"), of("z"), of("q"))
-    kept = stored(kept, "hubs")
-    if kept.count() <= broadcast_rows:
-        kept = F.broadcast(kept)
-    y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
+    kept = own.groupBy("tok", sure(F.pmod(F.xxhash64("eid"), F.lit(hubs)).cast("int")).alias("c")).agg(F.min("eid").alias("eid"), of("na"), of("z"), of("q"))
+    if not shared:
+        kept = stored(kept, "hubs")
+        if kept.count() <= broadcast_rows:
+            kept = F.broadcast(kept)
+    col = lambda side, c: F.shiftright(f"{side}.na", 4) if c == "n" else F.col(f"{side}.{c}")
+    y, x = (lambda c: col("y", c)), (lambda c: col("x", c))
     shares = F.least(y("n") - _least(y("n"), percent) + 1, F.lit(first), F.lit(max(1, hubs // share)))
-    own_share = F.pmod(x("c"), shares) == F.pmod(y("at"), shares)
+    own_share = F.pmod(x("c"), shares) == F.pmod(y("na").bitwiseAND(F.lit(15)), shares)
     near = own.alias("y").join(kept.alias("x"), (y("tok") == x("tok")) & (y("eid") > x("eid")) & own_share & _bound(y, x, percent))
     differ = F.bit_count(y("z").bitwiseXOR(x("z")))
     return stored(closest(near.select(y("eid").alias("late"), x("eid").alias("early"), differ.alias("differ"))), "heads")

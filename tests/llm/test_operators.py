@@ -552,3 +552,23 @@ def test_frequent_words_are_all_marked(spark):
         marked = {r.tok for r in postings.where(line_dedup.frequent(postings, 3, slots)).select("tok").distinct().collect()}
         assert marked >= often
         assert slots == 16 or marked == often
+
+
+def test_line_hubs_of_one_shuffle(spark, monkeypatch):
+    """Too many hubs for a broadcast are not stored but read from the shuffle of their words'
+    postings, with the same heads; words of no more than twice as many entries have none."""
+    rng = np.random.RandomState(10)
+    base = [words(20, s, 5000).split() for s in range(300, 306)]
+    d = docs(spark, [(i, " ".join(w for w in base[i % 6] if rng.rand() > 0.06) + f" own{i}") for i in range(150)])
+    entries = line_dedup.entries_of(line_dedup.line_table(d))
+    assert line_dedup.heads(entries, 80, 500_000, hubs=15).count() == 0  # 25 lines a group
+    few = rows_of(line_dedup.heads(entries, 80, 500_000, hubs=4), "late", "early")
+    names, stored, seen, closest = [], line_dedup.stored, [], line_dedup.closest
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: names.append(name) or stored(df, name))
+    monkeypatch.setattr(line_dedup, "closest", lambda pairs: seen.append(pairs) or closest(pairs))
+    many = rows_of(line_dedup.heads(entries, 80, 0, hubs=4), "late", "early")
+    assert {x for x, _ in many} == {x for x, _ in few} and len(many) > 60
+    assert names == ["heads"]
+    seen[0].collect()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("+- Exchange hashpartitioning(tok") == 1 == plan.count("ReusedExchange"), plan
