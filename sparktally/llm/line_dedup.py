@@ -98,7 +98,8 @@ def _some_left(n: Column, percent: int) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, line (plain)."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.split(_plain("text"), "\n").alias("parts"))
-    return keyed.select("doc_id", "text_key", F.posexplode("parts").alias("line_no", "line"))  # a text's hash once, not for every line
+    # A text's hash once, not for every line. Outer: for an inner explode Spark adds a filter that computes the array once more.
+    return keyed.select("doc_id", "text_key", F.posexplode_outer("parts").alias("line_no", "line")).where("line_no IS NOT NULL")
 
 
 def _parity(t: str, odd: bool = False) -> Column:
@@ -159,23 +160,40 @@ def _bound(y, x, percent: int) -> Column:
     )
 
 
+def _packed(postings: DataFrame, percent: int) -> DataFrame:
+    """tok, eid, z, q and m: n, n - at, whether the word is early enough in the smaller
+    entry of a pair, and late, in one number. Most of the join's time goes into its
+    condition, which reads these columns for every pair of a word's postings."""
+    sure = lambda c: F.coalesce(c, F.lit(0))
+    n, left = F.col("n"), F.col("n") - F.col("at")
+    flags = F.when(left >= _least_of_smaller(n, percent), F.lit(2)).otherwise(F.lit(0)) + F.when(F.col("late"), F.lit(1)).otherwise(F.lit(0))
+    m = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(left.cast("long"), 2)).bitwiseOR(flags.cast("long"))
+    return postings.select("tok", *(sure(F.col(c)).alias(c) for c in ("eid", "z", "q")), sure(m).alias("m"))
+
+
 def candidates(small: DataFrame, large: DataFrame, percent: int, either: bool = False) -> DataFrame:
     """(late, early) of all pairs of postings, the first the smaller entry's, that
     may match and whose later entry looks for a match. No condition is about
     one side alone, so that a self-join shuffles its postings once. With `either`
     side's entry the smaller one, for which that join needs no second pass."""
-    y, x = (lambda c: F.col(f"y.{c}")), (lambda c: F.col(f"x.{c}"))
+    low = F.lit(2**32 - 1)
+    of = {"n": lambda m: F.shiftright(m, 32), "left": lambda m: F.shiftright(m.bitwiseAND(low), 2)}
+    side = lambda s: lambda c: of[c](F.col(f"{s}.m")) if c in of else F.col(f"{s}.{c}")
+    y, x = side("y"), side("x")
+    has = lambda a, flag: a("m").bitwiseAND(F.lit(flag).cast("long")) != 0
     n, xn, z = y("n"), x("n"), y("z").bitwiseXOR(x("z"))
-    of_smaller = lambda a, b: (a("n") <= b("n")) & (a("at") <= F.least(a("n") - _least_of_smaller(a("n"), percent), b("n")))
+    # a's word is early enough and a.n <= b.n, as one comparison of both sides.
+    of_smaller = lambda a, b: F.when(has(a, 2), a("m")).otherwise(F.lit(LAST)) <= b("m").bitwiseOR(low)
     met = (
         (of_smaller(y, x) | of_smaller(x, y) if either else of_smaller(y, x))
         & ((100 + percent) * F.bit_count(z) <= (100 - percent) * (n + xn))  # most pairs fail here
-        & F.when(y("eid") > x("eid"), y("late")).otherwise(x("late"))
+        & F.when(y("eid") > x("eid"), has(y, 1)).otherwise(has(x, 1))
         & (y("eid") != x("eid"))
-        & ((100 + percent) * F.least(n - y("at"), xn - x("at")) >= percent * (n + xn))
+        & ((100 + percent) * F.least(y("left"), x("left")) >= percent * (n + xn))
         & _bound(y, x, percent)
     )
-    return small.alias("y").join(large.alias("x"), (y("tok") == x("tok")) & met).select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"), F.bit_count(z).alias("differ"))
+    pairs = _packed(small, percent).alias("y").join(_packed(large, percent).alias("x"), (F.col("y.tok") == F.col("x.tok")) & met)
+    return pairs.select(F.greatest(y("eid"), x("eid")).alias("late"), F.least(y("eid"), x("eid")).alias("early"), F.bit_count(z).alias("differ"))
 
 
 def closest(pairs: DataFrame) -> DataFrame:
@@ -242,7 +260,7 @@ def heads(entries: DataFrame, percent: int, broadcast_rows: int, first: int = 6,
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Lines (eid, line) of the wanted entries (eid, place), from the texts, one row
+    """Plain lines (eid, line, n: its distinct words) of the wanted entries (eid, place), from the texts, one row
     an entry, also where rows of docs are repeated. Wanted lines have a fixed
     width; they are broadcast, by document, only while they are few."""
     lines = stored(wanted, "wanted")
@@ -251,16 +269,20 @@ def _fetch(docs: DataFrame, wanted: DataFrame, broadcast_rows: int) -> DataFrame
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     met = texts.join(F.broadcast(by_doc) if n <= broadcast_rows else by_doc, ["doc_id", "text_key"])
     parts = met.select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-    return parts.select("w.eid", F.get("parts", F.col("w.line_no")).alias("line")).dropDuplicates(["eid"])
+    lines = parts.select("w.eid", F.get("parts", F.col("w.line_no")).alias("line")).dropDuplicates(["eid"])
+    return lines.select("eid", _plain("line").alias("line"), F.size(_words("line")).alias("n"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, entries: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """Of stored pairs (late, early), the late ones whose words match."""
     ends = pairs.select(F.col("late").alias("eid")).unionByName(pairs.select(F.col("early").alias("eid"))).distinct()
     lines = stored(_fetch(docs, ends.join(entries.select("eid", *PLACE), "eid"), broadcast_rows), "words")
-    sides = pairs.join(lines.select(F.col("eid").alias("late"), F.col("line").alias("y")), "late").join(lines.select(F.col("eid").alias("early"), F.col("line").alias("x")), "early")
-    y, x = _words("y"), _words("x")  # a stored line is less to write and to shuffle than its words
-    return sides.where(100 * F.size(F.array_intersect(x, y)) >= percent * F.size(F.array_union(x, y))).select(F.col("late").alias("eid")).distinct()
+    of = lambda side, line, n: lines.select(F.col("eid").alias(side), F.col("line").alias(line), F.col("n").alias(n))
+    sides = pairs.join(of("late", "y", "yn"), "late").join(of("early", "x", "xn"), "early")
+    # A stored line is less to write and to shuffle than its words. It is plain and its words are
+    # counted already: this becomes a condition of the join, which computes again what it names again.
+    shared = F.size(F.array_remove(F.array_intersect(_split("x"), _split("y")), ""))
+    return sides.where((100 + percent) * shared >= percent * (F.col("xn") + F.col("yn"))).select(F.col("late").alias("eid")).distinct()
 
 
 def matches(docs: DataFrame, entries: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:

@@ -572,3 +572,30 @@ def test_line_hubs_of_one_shuffle(spark, monkeypatch):
     seen[0].collect()
     plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("+- Exchange hashpartitioning(tok") == 1 == plan.count("ReusedExchange"), plan
+
+
+def test_line_work_is_done_once(spark):
+    """Texts are split into lines once, not once more for a filter; a pair's words are
+    neither lowered nor counted in the join; postings meet in five columns of one shuffle."""
+    rng = np.random.RandomState(11)
+    base = [words(20, s, 5000).split() for s in range(400, 406)]
+    rows = [(i, "\n".join(" ".join(w for w in base[(i + k) % 6] if rng.rand() > 0.06) + f"\tOwn{i} x{k}" for k in range(2))) for i in range(40)] + [(90, None), (91, "")]
+    d = docs(spark, rows)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(line_dedup.lines_of(d)).count("split(") == 1
+    assert line_dedup.lines_of(d).count() == 81  # none of a null text
+    entries = line_dedup.entries_of(line_dedup.line_table(d))
+    all_ = line_dedup._postings(entries.withColumn("late", F.lit(True)), 80)
+    met = line_dedup.candidates(all_, all_, 80)
+    pairs = _shared.stored(met.select("late", "early").distinct(), "pairs")
+    join = plan(met).split("Join Inner")[1].split("\n")
+    assert join[1].count(" AS ") == 4, join  # tok, and eid, z, q and m
+    with _shared.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        met.collect()
+    done = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("+- Exchange hashpartitioning(tok") == 1 == done.count("ReusedExchange"), done
+    found = line_dedup.verified(d, pairs, entries, 80, 500_000)
+    assert found.count() > 40
+    assert "lower(" not in plan(found) and plan(found).count("array_intersect(") == 1
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in line_dedup.remove_lines(d).collect()), key=repr)
+    assert got == plain_line_removal(rows)
